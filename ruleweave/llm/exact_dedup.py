@@ -79,16 +79,16 @@ def _merge(table: pa.Table) -> pa.Table:
     for a, b in zip(table["seen"].to_pylist(), table["again"].to_pylist()):
         a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
         seen, again = (a, b) if seen is None else (seen | a, again | b | (seen & a))
-    return pa.table({"segment": table["segment"][:1], "again": pa.array([again.tobytes()], pa.binary())})
+    return pa.table({"segment": table["segment"][:1], "seen": pa.array([seen.tobytes()], pa.binary()), "again": pa.array([again.tobytes()], pa.binary())})
 
 
-def repeated_filter(digests: DataFrame, bits: int) -> np.ndarray:
-    """The bit array of positions that two rows or more have set."""
+def fold_filter(digests: DataFrame, bits: int, which: str) -> np.ndarray:
+    """The bit array of positions that one row or more ("seen") or two ("again") have set."""
     parts = digests.mapInArrow(_fold(bits), "segment long, seen binary, again binary")
-    merged = parts.groupBy("segment").applyInArrow(_merge, "segment long, again binary")
+    merged = parts.groupBy("segment").applyInArrow(_merge, "segment long, seen binary, again binary")
     out = np.zeros(bits >> 3, np.uint8)
-    for row in merged.toLocalIterator():
-        piece = np.frombuffer(row["again"], np.uint8)
+    for row in merged.select("segment", which).toLocalIterator():
+        piece = np.frombuffer(row[which], np.uint8)
         out[row["segment"] * len(piece) :][: len(piece)] = piece
     return out
 
@@ -118,7 +118,7 @@ def decide(docs: DataFrame) -> DataFrame:
     bits = 1 << 13
     while bits < min(MAX_BITS, BITS_PER_ROW * digests.count()):
         bits <<= 1
-    shared = spark.sparkContext.broadcast(repeated_filter(digests, bits).tobytes())
+    shared = spark.sparkContext.broadcast(fold_filter(digests, bits, "again").tobytes())
     tested = digests.mapInArrow(_test(bits, shared), "doc_id long, row_hash long, sha binary, uid long, maybe boolean")
     tested = materialize(tested, "tested")
     once = tested.where("not maybe").select("doc_id", "row_hash", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, secret_scan, url_filter
+from . import exact_dedup, near_dedup, packing, secret_scan, url_filter
 
 #: Fixed rules of op1: host, path, verdict.
 URL_RULES = [
@@ -37,6 +37,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(_read(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), width=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.decide(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -47,7 +52,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filter, op5_secret_scan, op7_exact_dedup, op8_packing]
+    found = [op1_url_filter, op5_secret_scan, op6_near_dedup, op7_exact_dedup, op8_packing]
     return {f.__name__: f for f in found}
 
 
