@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, secret_scan, url_filter
+from . import exact_dedup, language_id, near_dedup, packing, quality, secret_scan, url_filter
 
 #: Fixed rules of op1: host, path, verdict.
 URL_RULES = [
@@ -51,8 +51,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_features", "log_weight", "sample_key", "kept")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs, "doc_id"), ["doc_id"], F.col("source"))
+
+
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with all its evidence, over web pages."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", language_id.host_of(F.col("url")).alias("host"), language_id.declared_language(F.col("html")).alias("markup"), language_id.page_text(F.col("html")).alias("text"))
+    model = language_id.fit(_read(spark, sf_dir, "documents"), "doc_id")
+    return language_id.identify(pages, model, ["page_id"], F.col("host"), F.col("markup"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filter, op5_secret_scan, op6_near_dedup, op7_exact_dedup, op8_packing]
+    found = [op1_url_filter, op5_secret_scan, op6_near_dedup, op7_exact_dedup, op8_packing, op9_quality, op10_language_id, pages_language]
     return {f.__name__: f for f in found}
 
 
