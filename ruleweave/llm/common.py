@@ -92,6 +92,24 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def keep_rows(docs: DataFrame, verdict: DataFrame, kept: str) -> DataFrame:
+    """The rows of docs that a verdict (doc_id, row_hash, kept; one row per row) keeps, all columns.
+
+    Rows are told apart by id and text hash; of rows alike in both, as many stay as the verdict keeps
+    if that is none or all, else one. Spark broadcasts the dropped ids where they are few.
+    """
+    verdict = verdict.select("doc_id", "row_hash", F.col(kept).alias("kept"))
+    gone = materialize(verdict.where("not kept").select("doc_id", "row_hash").distinct(), "gone")
+    same = lambda a, hashed, t: a["doc_id"].eqNullSafe(t["doc_id"]) & (a[hashed] == t["row_hash"])
+    some = verdict.where("kept")
+    some = materialize(some.join(gone, same(some, "row_hash", gone), "left_semi"), "some")
+    keyed = docs.withColumn("_row_hash", F.xxhash64("text"))
+    left = keyed.join(gone, same(keyed, "_row_hash", gone), "left_anti")
+    if not some.isEmpty():
+        left = left.unionByName(keyed.join(some, same(keyed, "_row_hash", some), "left_semi").dropDuplicates(["doc_id", "_row_hash"]))
+    return left.select(*docs.columns)
+
+
 def bucket_count(rows: int, least: int = 64) -> int:
     return max(least, -(-rows // RANK_BUCKET_ROWS))
 

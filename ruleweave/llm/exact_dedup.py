@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, texts
+from .common import keep_rows, materialize, slices, texts
 
 #: Bits a row, and the most bits of a filter (32 MiB). A filter beyond its load lets more rows
 #: shuffle but never changes the result, so this bounds the broadcast at every input size.
@@ -131,13 +131,4 @@ def decide(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    verdict = decide(docs)
-    gone = materialize(verdict.where("not kept").groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("_gone")), "gone")
-    stay = materialize(verdict.where("kept").select("doc_id", "row_hash").join(gone, (verdict["doc_id"].eqNullSafe(gone["doc_id"])) & (verdict["row_hash"] == gone["row_hash"]), "left_semi"), "stay")
-    keyed = docs.withColumn("_row_hash", F.xxhash64("text"))
-    same = lambda t: keyed["doc_id"].eqNullSafe(t["doc_id"]) & (keyed["_row_hash"] == t["row_hash"])
-    left = keyed.join(gone, same(gone), "left_anti")
-    if not stay.isEmpty():
-        # Rows that share id and text with a dropped row: one of each stays.
-        left = left.unionByName(keyed.join(stay, same(stay), "left_semi").dropDuplicates(["doc_id", "_row_hash"]))
-    return left.select(*docs.columns)
+    return keep_rows(docs, decide(docs), "kept")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, texts
+from .common import keep_rows, materialize, slices, texts
 
 BUCKETS = 1 << 15
 #: The model is fitted on at most so many labelled rows, those with the least hash of their id.
@@ -172,6 +172,12 @@ def identify(rows: DataFrame, model: Model, keys: list[str], host: Column | None
     return out.withColumn("kept", (F.col("language") != "und") & (F.col("confidence") >= least))
 
 
+def drop_unidentified(docs: DataFrame, model: Model, host: Column | None = None) -> DataFrame:
+    """docs without the rejected rows; all columns."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"), (host if host is not None else F.lit("")).alias("host"))
+    return keep_rows(docs, identify(rows, model, ["doc_id", "row_hash"], F.col("host")), "kept")
+
+
 def page_text(html: Column) -> Column:
     """Text of a page without scripts, styles, comments, tags and entities."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, slices, texts
+from .common import forget, keep_rows, materialize, slices, texts
 from .components import components
 from .exact_dedup import BITS_PER_ROW, MAX_BITS, _partition, _positions, fold_filter
 
@@ -302,3 +302,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return linked.unionByName(alone).select(
         "doc_id", "row_hash", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("uid") == F.col("best")).alias("row_kept")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component left, the one with the least doc_id; all columns."""
+    return keep_rows(docs, near_duplicates(docs, width, percent), "row_kept")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, near_dedup, packing, quality, secret_scan, url_filter
+from . import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, packing, quality, secret_scan, sharding, url_filter
 
 #: Fixed rules of op1: host, path, verdict.
 URL_RULES = [
@@ -33,6 +33,22 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.balanced_shards(_read(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, how many are deleted, and which (runs of line numbers from 0)."""
+    found = line_dedup.deletions(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("deleted").cast("long").alias("n_deleted"), line_dedup.spans("deleted").alias("deleted_lines"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items found in documents, with place, edits and similarity."""
+    found = decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.drop("row_hash")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(_read(spark, sf_dir, "documents"))
 
@@ -69,7 +85,7 @@ def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filter, op5_secret_scan, op6_near_dedup, op7_exact_dedup, op8_packing, op9_quality, op10_language_id, pages_language]
+    found = [op1_url_filter, op2_sharding, op3_line_dedup, op4_decontaminate, op5_secret_scan, op6_near_dedup, op7_exact_dedup, op8_packing, op9_quality, op10_language_id, pages_language]
     return {f.__name__: f for f in found}
 
 
