@@ -237,23 +237,29 @@ def translate(pattern: str, nocase: bool = False, dotall: bool = False, fullword
         body = rf"\b(?:{body})\b"
     python = ("(?i)" if nocase else "") + _for_python(body)
     try:
-        compiled = regex.compile(python, regex.V1 if not t.java_ok else regex.V0 if "[[" not in python and "&&" not in python else regex.V1)
+        compiled = python_pattern(python)
     except (regex.error, RecursionError, OverflowError) as e:
         raise InvalidPattern(f"{pattern!r}: {e}") from None
     return Compiled(("(?Udiu)" if nocase else "(?Ud)") + body if t.java_ok else None, python, _nullable(python, compiled))
 
 
+def _nested(python: str) -> bool:
+    """Whether it may have sets within sets, which only the regex module's newer syntax reads."""
+    return re.search(r"\[[^\]]*(?:\[|&&|--|~~)", python) is not None
+
+
 @lru_cache(maxsize=4096)
 def python_pattern(python: str):
-    modern = "[[" in python or "&&" in python or "--" in python or "~~" in python
-    return regex.compile(python, regex.V1 if modern else regex.V0)
+    return regex.compile(python, regex.V1 if _nested(python) else regex.V0)
 
 
 def _nullable(python: str, compiled) -> bool:
     try:
-        return re._parser.parse(python).getwidth()[0] == 0
-    except Exception:  # what only the regex module reads: probe it
-        return any(m.start() == m.end() for s in ("", "a", "a b", "1\n", "é-") for m in compiled.finditer(s))
+        if not _nested(python):
+            return re._parser.parse(python).getwidth()[0] == 0
+    except Exception:  # what only the regex module reads is probed
+        pass
+    return any(m.start() == m.end() for s in ("", "a", "a b", "1\n", "é-") for m in compiled.finditer(s))
 
 
 def finditer(compiled: Compiled, text: str):
