@@ -5,9 +5,9 @@ the least hash of its share of the hash range; an empty bin takes the value of a
 its number picks. BANDS bands of equal bins give buckets. A bucket proposes a star: one hub against
 all other members, so pairs grow with members, not with their square. Proposed pairs are confirmed on
 full shingle sets. A star can miss a link between two members that are not the hub's; so buckets
-whose members are still in several components get a second star around the member with most links,
-and then the pairs between their components, smaller components first. Buckets where those would be
-many are first split by a second band. No bucket, pair or partner is dropped for its size.
+whose members are still in several components get a second star around the member with most links, and
+then members of different components are compared by their sketches, in tiles of bounded size that only
+give out pairs that may be links. No bucket, pair or partner is dropped for its size.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from .exact_dedup import BITS_PER_ROW, MAX_BITS, _partition, _positions, fold_fi
 
 #: 32 bands of 4 bins: a pair at similarity 0.8 shares none with probability 5e-8.
 BINS, BANDS = 128, 32
-#: A sketch agrees in fewer than this share of its bins only if the similarity is far below 0.8 (over
-#: six standard deviations); used for sets of at least BINS shingles, smaller ones are always confirmed.
-LEAST_AGREEMENT = 0.55
-#: Pairs between components of one bucket up to which they are all proposed; beyond, it is split.
-SMALL_BUCKET = 20_000
+#: Sketches of sets of at least BINS shingles agree in a smaller share of bins only if the similarity is
+#: below 0.8 (by some five standard deviations); smaller sets are always confirmed.
+LEAST_AGREEMENT = 0.62
+#: Members of a bucket that one tile holds, and shingles that one group of pairs is confirmed with.
+TILE, GROUP_SHINGLES = 4_000, 2_000_000
 #: Distinct words whose hashes a worker keeps.
 WORD_CACHE = 400_000
 
@@ -136,28 +136,60 @@ def _sketch(width: int):
     return run
 
 
+def _signs(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS)
+
+
 def _likely(percent: int):
     def run(batches):
         for b in batches:
-            n = np.minimum(b["na"].to_numpy(), b["nb"].to_numpy()), np.maximum(b["na"].to_numpy(), b["nb"].to_numpy())
-            ok = 100 * n[0] >= percent * n[1]
-            if b.num_rows:
-                signs = [np.frombuffer(b"".join(b[c].to_pylist()), np.uint16).reshape(-1, BINS) for c in ("sa", "sb")]
-                ok &= ((signs[0] == signs[1]).mean(axis=1) >= LEAST_AGREEMENT) | (n[0] < BINS)
-            yield b.select(["a", "b"]).filter(pa.array(ok))
+            na, nb = b["na"].to_numpy(), b["nb"].to_numpy()
+            low = np.minimum(na, nb)
+            ok = 100 * low >= percent * np.maximum(na, nb)
+            ok &= ((_signs(b["sa"]) == _signs(b["sb"])).mean(axis=1) >= LEAST_AGREEMENT) | (low < BINS)
+            yield b.select(["a", "b", "host", "na", "nb"]).filter(pa.array(ok))
+
+    return run
+
+
+def _compare(percent: int):
+    """Pairs of one tile that are in different components and may be links. A pair is left to the first
+    band that its two sketches share."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.sort_by("cid")
+        cid, component, n, side = (tile[c].to_numpy() for c in ("cid", "component", "n", "side"))
+        signs = _signs(tile["sign"])
+        bands = np.array(tile["bands"].to_pylist(), np.int64)
+        band = tile["band"][0].as_py()
+        mixed = len(np.unique(side)) > 1
+        names, inverse, sizes = np.unique(component, return_inverse=True, return_counts=True)
+        main = inverse == sizes.argmax()
+        out = []
+        for i in np.flatnonzero(~main):
+            ok = (component != component[i]) & (main | (np.arange(len(cid)) > i))
+            if mixed:
+                ok &= side != side[i]
+            ok &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+            at = np.flatnonzero(ok)
+            at = at[(bands[at] == bands[i]).argmax(axis=1) == band]
+            at = at[((signs[at] == signs[i]).mean(axis=1) >= LEAST_AGREEMENT) | (np.minimum(n[at], n[i]) < BINS)]
+            out += [(cid[i], cid[j], max(component[i], component[j]) if main[i] == main[j] else component[j], n[i], n[j]) for j in at]
+        cols = list(zip(*out)) if out else [()] * 5
+        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("x", "y", "host", "nx", "ny"), cols)})
 
     return run
 
 
 def _confirm(percent: int):
-    def run(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b["set_a"], b["set_b"]):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        held = dict(zip(sets["cid"].to_pylist(), sets["shingles"].to_pylist()))
+        ok = []
+        for x, y in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+            x, y = np.frombuffer(held[x], np.uint64), np.frombuffer(held[y], np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(100 * both >= percent * (len(x) + len(y) - both))
+        return pairs.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -185,24 +217,45 @@ class _Links:
         self.tested: DataFrame | None = None
         self.links: DataFrame | None = None
 
-    def propose(self, pairs: DataFrame) -> bool:
-        """Confirm pairs (x, y) not proposed before; true if there are new links."""
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    def star(self, members: DataFrame) -> bool:
+        """Propose (hub, member) for members (cid, hub); true if there are new links."""
+        pairs = members.where("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"), F.col("hub").alias("host"))
+        pairs = pairs.groupBy("a", "b").agg(F.min("host").alias("host"))
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        self.note(pairs)
         sides = [self.classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}")) for c in "ab"]
-        likely = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_likely(self.percent), "a long, b long")
+        likely = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "host", "na", "sa", "nb", "sb")
+        return self.confirm(likely.mapInArrow(_likely(self.percent), "a long, b long, host long, na long, nb long"))
+
+    def cross(self, still: DataFrame) -> bool:
+        """Propose the pairs of open buckets that are in different components and may be links."""
+        pairs = still.groupBy("bucket", "tile_a", "tile_b").applyInArrow(_compare(self.percent), "x long, y long, host long, nx long, ny long")
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "host", F.col("nx").alias("na"), F.col("ny").alias("nb"))
+        pairs = pairs.groupBy("a", "b").agg(F.min("host").alias("host"), F.min("na").alias("na"), F.min("nb").alias("nb"))
+        return self.confirm(pairs.join(self.tested, ["a", "b"], "left_anti"))
+
+    def note(self, pairs: DataFrame) -> None:
+        pairs = pairs.select("a", "b")
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+
+    def confirm(self, likely: DataFrame) -> bool:
+        """Confirm pairs on full sets. Pairs with one host (a hub or a component) meet in one group, or in
+        several if their sets are many, so a set is sent once to a group and not once for each pair."""
         likely = materialize(likely, "likely")
         if likely.isEmpty():
             return False
         wanted = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         wanted = materialize(wanted.join(self.classes, "cid").select("cid", "doc_id", "row_hash"), "wanted")
         sets = materialize(self._sets_of(wanted), "sets")
-        sides = [sets.select(F.col("cid").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab"]
-        found = materialize(likely.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(self.percent), "a long, b long"), "links")
-        forget(sets, wanted, likely)
+        parts = likely.groupBy("host").agg(F.ceil(F.sum(F.col("na") + F.col("nb")) / GROUP_SHINGLES).alias("parts"))
+        other = F.when(F.col("a") == F.col("host"), F.col("b")).otherwise(F.col("a"))
+        dealt = materialize(likely.join(parts, "host").select("a", "b", "host", F.pmod(F.xxhash64(other), F.col("parts")).alias("part")), "dealt")
+        needed = dealt.select(F.col("host").alias("h"), F.col("part").alias("p"), F.explode(F.array("a", "b")).alias("cid")).distinct().join(sets, "cid")
+        found = dealt.groupBy("host", "part").cogroup(needed.groupBy("h", "p")).applyInArrow(_confirm(self.percent), "a long, b long")
+        found = materialize(found, "links")
+        forget(sets, wanted, likely, dealt)
         self.links = found if self.links is None else self.links.unionByName(found)
         return not found.isEmpty()
 
@@ -222,35 +275,27 @@ class _Links:
 
 
 def _open(members: DataFrame, links: _Links) -> DataFrame:
-    """Members of buckets of three or more whose members are in several components."""
+    """Members of buckets of three or more whose members are in several components, with the member that
+    has most links as hub."""
     if links.links is None:
-        placed = members.select("bucket", "cid", F.col("cid").alias("component"), F.lit(0).cast("long").alias("degree"))
+        placed = members.select("bucket", "band", "cid", F.col("cid").alias("component"), F.lit(0).cast("long").alias("degree"))
     else:
         degree = links.links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("degree"))
         known = components(links.links).withColumnRenamed("node", "cid").join(degree, "cid")
-        placed = members.join(known, "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    buckets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("degree", "cid")).alias("hub"))
-    buckets = buckets.where("size > 2 and low < high").select("bucket", "size", F.col("hub.cid").alias("hub"))
+        placed = members.join(known, "cid", "left").select("bucket", "band", "cid", F.coalesce("component", "cid").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    placed = materialize(placed, "placed")
+    buckets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("cid", "degree").alias("hub"))
+    buckets = buckets.where("size > 2 and low < high").select("bucket", "size", "hub")
     return materialize(placed.join(buckets, "bucket"), "open")
 
 
-def _cross(still: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of open buckets: pairs between components with one end outside the bucket's largest component
-    (any pair between two components has one), and the members of buckets with too many of those."""
-    sizes = still.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("main"), F.sum("k").alias("size"))
-    main = main.select("bucket", F.col("main.component").alias("main"), ((F.col("size") - F.col("main.k")) * F.col("size") <= SMALL_BUCKET).alias("small"))
-    known = still.select("bucket", "cid", "component").join(main, "bucket")
-    small = known.where("small")
-    other = small.where("component <> main").select("bucket", F.col("cid").alias("x"), F.col("component").alias("cx"))
-    pairs = small.select("bucket", F.col("cid").alias("y"), F.col("component").alias("cy")).join(other, "bucket").where("cx <> cy").select("x", "y")
-    return pairs, known.where("not small").select("bucket", "cid")
-
-
-def _multiple(buckets: DataFrame) -> DataFrame:
-    """bucket, cid, hub of buckets with two members or more."""
-    hubs = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("hub")).where("size > 1")
-    return materialize(buckets.join(hubs.select("bucket", "hub"), "bucket"), "members")
+def _tiles(still: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of open buckets, dealt into pairs of tiles of about TILE members."""
+    full = still.join(classes.select("cid", "n", "sign", "bands"), "cid")
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    full = full.withColumn("side", F.pmod(F.xxhash64("cid"), tiles).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    pair = [F.least("side", "with").alias("tile_a"), F.greatest("side", "with").alias("tile_b")]
+    return full.select("bucket", "band", "cid", "component", "n", "sign", "bands", "side", *pair)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -269,25 +314,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     one = some.groupBy("mark").agg(F.min(F.struct("uid", "doc_id", "row_hash", "n", "sign", "bands")).alias("one"), F.min(least).alias("least"))
     classes = materialize(one.select("mark", F.col("one.uid").alias("cid"), "one.doc_id", "one.row_hash", "one.n", "one.sign", "one.bands", "least"), "classes")
 
-    members = _multiple(classes.select(F.explode("bands").alias("bucket"), "cid"))
+    buckets = classes.select(F.posexplode("bands").alias("band", "bucket"), "cid")
+    hubs = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("hub")).where("size > 1")
+    members = materialize(buckets.join(hubs.select("bucket", "hub"), "bucket"), "members")
     links = _Links(docs, classes, width, percent)
-    level = 0
-    links.propose(members.where("cid <> hub").select(F.col("hub").alias("x"), F.col("cid").alias("y")))
-    while True:
-        still = _open(members.select("bucket", "cid"), links)
-        if still.isEmpty():
-            break
-        if links.propose(still.where("cid <> hub").select(F.col("hub").alias("x"), F.col("cid").alias("y"))):
-            still = _open(members.select("bucket", "cid"), links)
-        pairs, large = _cross(still)
-        links.propose(pairs)
-        large = materialize(large, "large")
-        if large.isEmpty():
-            break
-        # Pairs that share one band nearly always share a second: split large buckets by it.
-        level += 1
-        split = large.join(classes.select("cid", "bands"), "cid").select(F.explode("bands").alias("band"), "bucket", "cid").where("band <> bucket")
-        members = _multiple(split.select(F.xxhash64("bucket", "band").alias("bucket"), "cid").distinct())
+    links.star(members)
+    still = _open(members, links)
+    if not still.isEmpty():
+        if links.star(still.select("cid", "hub")):
+            still = _open(members, links)
+        links.cross(_tiles(still, classes))
 
     classed = classes.select("mark", "cid", "least")
     if links.links is not None:
