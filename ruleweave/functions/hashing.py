@@ -99,7 +99,7 @@ def gradient_hash(gray: np.ndarray, size: int = 8) -> int:
 
 
 def luma(rgb: np.ndarray) -> np.ndarray:
-    return (2126 * rgb[..., 0].astype(int) + 7152 * rgb[..., 1] + 722 * rgb[..., 2]) // 10000
+    return rgb[..., :3].astype(int) @ np.array([2126, 7152, 722]) // 10000
 
 
 def image_hash(content: bytes, size: int = 8) -> int:

@@ -12,7 +12,6 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -21,6 +20,7 @@ import xxhash
 from ..errors import ChatError, ClassifierError, RuleweaveError, SemanticError
 from ..functions.chat_text import prompt, read_answer, read_completion
 from ..functions.vectors import cosine_of
+from ..shipping import Cache
 
 
 class Embedder(Protocol):
@@ -241,13 +241,17 @@ class LocalNeuralChat:
 # -- ONNX -----------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=2)
+_SESSIONS = Cache()
+
+
 def _onnx(folder: str):
     import onnxruntime
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(f"{folder}/tokenizer.json")
-    return tokenizer, onnxruntime.InferenceSession(f"{folder}/model.onnx", providers=["CPUExecutionProvider"])
+    if folder not in _SESSIONS:
+        tokenizer = Tokenizer.from_file(f"{folder}/tokenizer.json")
+        _SESSIONS[folder] = tokenizer, onnxruntime.InferenceSession(f"{folder}/model.onnx", providers=["CPUExecutionProvider"])
+    return _SESSIONS[folder]
 
 
 @dataclass(frozen=True)

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 
 import regex
 
 from ..errors import InvalidPattern
+from ..shipping import Cache
 
 #: Fixed: ASCII members of the bracketed classes.
 POSIX = {
@@ -228,9 +228,15 @@ def _for_python(java: str) -> str:
     return re.sub(r"\(\?<([A-Za-z])", r"(?P<\1", out)
 
 
-@lru_cache(maxsize=4096)
 def translate(pattern: str, nocase: bool = False, dotall: bool = False, fullword: bool = False) -> Compiled:
     """Raises InvalidPattern for what is outside the dialect."""
+    key = pattern, nocase, dotall, fullword
+    if key not in _TRANSLATED:
+        _TRANSLATED[key] = _translate(*key)
+    return _TRANSLATED[key]
+
+
+def _translate(pattern: str, nocase: bool, dotall: bool, fullword: bool) -> Compiled:
     t = _Translator(pattern, dotall)
     body = t.run()
     if fullword:
@@ -248,9 +254,13 @@ def _nested(python: str) -> bool:
     return re.search(r"\[[^\]]*(?:\[|&&|--|~~)", python) is not None
 
 
-@lru_cache(maxsize=4096)
+_PATTERNS, _TRANSLATED = Cache(), Cache()
+
+
 def python_pattern(python: str):
-    return regex.compile(python, regex.V1 if _nested(python) else regex.V0)
+    if python not in _PATTERNS:
+        _PATTERNS[python] = regex.compile(python, regex.V1 if _nested(python) else regex.V0)
+    return _PATTERNS[python]
 
 
 def _nullable(python: str, compiled) -> bool:
