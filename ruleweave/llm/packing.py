@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import Cache
 from .common import bucket_count, materialize, ranked, slices
 
 CAPACITY = 2048
@@ -29,8 +29,16 @@ NODE_LIMIT = 20_000
 # -- tokens ---------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=2)
+_ENCODERS = Cache()
+
+
 def _encoder(vocabulary: str):
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = _load_encoder(vocabulary)
+    return _ENCODERS[vocabulary]
+
+
+def _load_encoder(vocabulary: str):
     """text -> ids, as tokenizers.Tokenizer.from_file(vocabulary).encode(text, add_special_tokens=False).
 
     Runs the vocabulary's merges, by their ranks, in tiktoken, which is several times faster; a text

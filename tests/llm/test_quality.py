@@ -1,0 +1,67 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ruleweave.llm import quality as Q
+from ruleweave.llm.common import materialize
+from ruleweave.llm.near_dedup import WordHashes
+
+from .conftest import EDGES, make
+
+
+def test_held_out_accuracy(spark):
+    """Fitted on part of the labels, tested on the rest."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    fitted = labels.where("doc_id % 2 = 0")
+    weights = Q.log_weights(docs, Q.fit(docs, fitted, most=100)).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    rank = weights.log_weight.rank()
+    good = weights.quality == 1
+    auc = (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+    assert auc > 0.95
+
+
+def test_weights_are_log_ratios(spark):
+    rows = [(1, "good words here"), (2, "bad stuff"), (3, None), (4, "good stuff")]
+    docs = make(spark, rows)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
+    ratio = Q.fit(docs, labels)
+    found = Q.feature_buckets([(t or "").encode() for _, t in rows], WordHashes())
+    counts = [np.full(Q.BUCKETS, Q.SMOOTH) for _ in range(2)]
+    for f, (i, _) in zip(found, rows):
+        np.add.at(counts[0], f, 1)
+        if i == 1:
+            np.add.at(counts[1], f, 1)
+    raw, target = (c / c.sum() for c in counts)
+    assert np.allclose(ratio, np.log(target / raw))
+    got = {r.doc_id: r.log_weight for r in Q.log_weights(docs, ratio).collect()}
+    assert got == pytest.approx({i: ratio[f].sum() for (i, _), f in zip(rows, found)})
+
+
+@pytest.mark.parametrize("k", [0, 1, 7, 500, 999, 1000, 2000])
+@pytest.mark.parametrize("how", ["spread", "ties", "one", "mixed"])
+def test_top_rows_are_exact(spark, k, how, monkeypatch):
+    monkeypatch.setattr(Q, "LAST_ROWS", 10)
+    key = {"spread": F.rand(3) * 1e6 - F.pow(F.lit(10.0), F.col("id") % 9), "ties": (F.col("id") % 3).cast("double"), "one": F.lit(2.5), "mixed": F.when(F.col("id") % 2 == 0, 1.0).otherwise(F.rand(4))}[how]
+    scored = materialize(spark.range(1000).select(F.col("id").alias("uid"), key.alias("x")), "x")
+    out = Q.top_rows(scored, "x", k).toPandas()
+    assert len(out) == 1000 and out.kept.sum() == min(k, 1000)
+    if 0 < k < 1000:
+        assert out.x[out.kept].min() >= out.x[~out.kept].max()
+
+
+def test_sampling_follows_weights(spark):
+    """Rows of equal weight are drawn alike, rows of larger weight more often."""
+    docs = make(spark, [(i, "a" if i % 2 else "b") for i in range(2000)])
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 400, 2)] + [(i, 1) for i in range(0, 100, 2)], "doc_id long, quality int")
+    out = Q.resample(docs, labels, share=0.5).where("kept").toPandas()
+    share = (out.doc_id % 2 == 1).mean()
+    assert len(out) == 1000 and 0.7 < share < 0.97
+
+
+def test_edges(spark, edges, empty):
+    labels = spark.createDataFrame([(1, 1), (7, 0)], "doc_id long, quality int")
+    out = Q.resample(edges, labels, share=0.5)
+    assert out.count() == len(EDGES) and out.where("kept").count() == 7
+    assert Q.resample(empty, labels).count() == 0
+    assert Q.resample(edges, labels.limit(0)).where("kept").count() == len(EDGES)
