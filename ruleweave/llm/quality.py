@@ -23,6 +23,8 @@ BUCKETS = 10_000
 #: The target model is fitted on at most so many labelled rows, those with the least hash of their id.
 MAX_LABELLED = 20_000
 SMOOTH = 0.5
+#: The target model takes in so many features of raw text, so that few labelled rows do not overfit.
+SHRINK = 200_000
 SEED = 17
 #: Rows that one task may order when the last places are given out.
 LAST_ROWS = 10_000
@@ -57,13 +59,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> np.ndar
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     marked = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("target", F.lit(True))), "doc_id", "left")  # at most `most` ids
     counted = marked.select("text", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(_counts, "bucket long, raw long, target long")
-    counts = np.full((2, BUCKETS), SMOOTH)
+    counts = np.zeros((2, BUCKETS))
     for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toLocalIterator():  # at most BUCKETS rows
         counts[:, r["bucket"]] += r["raw"], r["target"]
-    if counts[1].sum() == SMOOTH * BUCKETS:
+    if not counts[1].any():
         return np.zeros(BUCKETS)
-    p = counts / counts.sum(axis=1, keepdims=True)
-    return np.log(p[1] / p[0])
+    raw = (counts[0] + SMOOTH) / (counts[0] + SMOOTH).sum()
+    target = (counts[1] + SHRINK * raw) / (counts[1].sum() + SHRINK)
+    return np.log(target / raw)
 
 
 def _weigh(shared):
