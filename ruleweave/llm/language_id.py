@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import Shared
 from .common import keep_rows, materialize, slices, texts
 
 BUCKETS = 1 << 15
@@ -24,6 +25,8 @@ MAX_LABELLED = 20_000
 #: Languages beyond so many, by count, are not modelled.
 MAX_LANGUAGES = 200
 TEMPER, SMOOTH, HOST_WEIGHT, UNKNOWN = 0.2, 0.5, 20.0, 1e-4
+#: Share of any text that is numbers, names and the like: a language draws so much of it from noise.
+FOREIGN = 0.1
 #: Fixed: country suffixes that suggest a language.
 SUFFIXES = {
     "de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "cl": "es", "co": "es", "pe": "es", "uk": "en", "us": "en",
@@ -75,7 +78,8 @@ def fit(labelled: DataFrame, key: str, text: str = "text", lang: str = "lang", m
     counts = np.full((len(languages), BUCKETS), SMOOTH)
     for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # at most languages x buckets
         counts[r["lang"], r["bucket"]] += r["n"]
-    return Model(languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
+    share = (1 - FOREIGN) * counts / counts.sum(axis=1, keepdims=True) + FOREIGN / BUCKETS
+    return Model(languages, np.log(share).astype(np.float32))
 
 
 def likelihoods(model: Model, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +130,7 @@ def identify(rows: DataFrame, model: Model, keys: list[str], host: Column | None
     markup = F.substring_index(F.substring_index(F.lower(markup), "-", 1), "_", 1) if markup is not None else F.lit(None).cast("string")
     source = rows.select(*keys, "text", host.alias("_host"), markup.alias("_markup"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "text")
-    shared = spark.sparkContext.broadcast(model)
+    shared = Shared(spark.sparkContext, model)
     scored = source.mapInArrow(_score(shared, [*keys, "_host", "_markup"]), f"{kinds}, n_grams long, ll array<double>, post array<double>")
     scored = materialize(scored.withColumn("_parent", F.when(F.col("_host").contains("."), F.substring_index("_host", ".", -2)).otherwise(F.lit(""))), "scored")
 
