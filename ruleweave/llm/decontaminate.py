@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import Shared
 from .common import keep_rows, slices
 from .near_dedup import mix
 
@@ -243,7 +244,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     def search(block):
         index = Index(block, similarity, repeats)
         index.lengths = {i: len(x) for i, x in zip(index.ids, index.items)}
-        return source.mapInArrow(_search(spark.sparkContext.broadcast(index)), schema)
+        return source.mapInArrow(_search(Shared(spark.sparkContext, index)), schema)
 
     for row in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator():
         if ws := words_of(row["text"]):

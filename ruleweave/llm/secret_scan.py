@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..shipping import Shared
 from . import automaton
 from .common import slices, utf8
 
@@ -89,11 +90,12 @@ def secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, base: int =
     An empty table gives no rows. Only doc_id and text are read.
     """
     names = [r.kind for r in rules]
-    shared = docs.sparkSession.sparkContext.broadcast(compile_rules(rules))
+    shared = Shared(docs.sparkSession.sparkContext, compile_rules(rules))
 
     def run(batches):
+        compiled = shared.value
         for batch in slices(batches, "text"):
-            found = find(*utf8(batch["text"]), rules, shared.value)
+            found = find(*utf8(batch["text"]), rules, compiled)
             join = lambda spans: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
             counts = [pa.array([sum(s[1] == k for s in spans) for spans in found], pa.int64()) for k in range(base)]
             digest = [hashlib.sha256(join([s for s in spans if s[1] < base]).encode()).hexdigest() for spans in found]

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import Shared
+
 #: Rule sets up to so many rules are broadcast as a trie; larger ones are joined by prefix.
 MAX_TRIE_RULES = 200_000
 TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -94,7 +96,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
     rules = [(h.translate(TO_LOWER), p, v) for h, p, v in rules]
     if len(rules) > MAX_TRIE_RULES:
         return _judge_by_join(pages, rules, default, key)
-    shared = pages.sparkSession.sparkContext.broadcast(build_trie(rules))
+    shared = Shared(pages.sparkSession.sparkContext, build_trie(rules))
 
     def run(batches):
         root = shared.value
