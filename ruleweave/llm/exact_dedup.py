@@ -14,15 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import keep_rows, materialize, slices, texts
 
-#: Bits a row, and the most bits of a filter (32 MiB). A filter beyond its load lets more rows
-#: shuffle but never changes the result, so this bounds the broadcast at every input size.
-BITS_PER_ROW, MAX_BITS, HASHES = 16, 1 << 28, 3
-#: Filters are merged in segments of so many bytes.
-SEGMENT = 1 << 14
-
-
 def _digests(batches):
     uid = 0
     task = _partition() << 40
@@ -42,63 +36,17 @@ def _partition() -> int:
     return context.partitionId() if context else 0
 
 
-def _positions(sha: pa.Array, bits: int) -> np.ndarray:
-    """One row of HASHES bit positions for each digest."""
-    words = np.frombuffer(b"".join(sha.to_pylist()), "<u8").reshape(-1, 4)
-    return (words[:, :HASHES] & np.uint64(bits - 1)).astype(np.int64)
-
-
-def _fold(bits: int):
-    def fold(batches):
-        seen, again = np.zeros(bits >> 3, np.uint8), np.zeros(bits >> 3, np.uint8)
-        for batch in batches:
-            for at in _positions(batch["sha"], bits).T:
-                at, n = np.unique(at, return_counts=True)
-                mask = (1 << (at & 7)).astype(np.uint8)
-                old = (seen[at >> 3] & mask) > 0
-                twice = (n > 1) | old
-                np.bitwise_or.at(again, at[twice] >> 3, mask[twice])
-                np.bitwise_or.at(seen, at >> 3, mask)
-        yield from _segments(seen, again)
-
-    return fold
-
-
-def _segments(seen, again):
-    step = min(SEGMENT, len(seen))
-    for i in range(0, len(seen), step):
-        if seen[i : i + step].any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i // step], pa.int64()), pa.array([seen[i : i + step].tobytes()], pa.binary()), pa.array([again[i : i + step].tobytes()], pa.binary())],
-                ["segment", "seen", "again"],
-            )
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    seen = again = None
-    for a, b in zip(table["seen"].to_pylist(), table["again"].to_pylist()):
-        a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-        seen, again = (a, b) if seen is None else (seen | a, again | b | (seen & a))
-    return pa.table({"segment": table["segment"][:1], "seen": pa.array([seen.tobytes()], pa.binary()), "again": pa.array([again.tobytes()], pa.binary())})
-
-
-def fold_filter(digests: DataFrame, bits: int, which: str) -> np.ndarray:
-    """The bit array of positions that one row or more ("seen") or two ("again") have set."""
-    parts = digests.mapInArrow(_fold(bits), "segment long, seen binary, again binary")
-    merged = parts.groupBy("segment").applyInArrow(_merge, "segment long, seen binary, again binary")
-    out = np.zeros(bits >> 3, np.uint8)
-    for row in merged.select("segment", which).toLocalIterator():
-        piece = np.frombuffer(row[which], np.uint8)
-        out[row["segment"] * len(piece) :][: len(piece)] = piece
-    return out
+def digest_positions(batch: pa.RecordBatch, bits: int) -> np.ndarray:
+    """Bit positions of the digests in column `sha`."""
+    words = np.frombuffer(b"".join(batch["sha"].to_pylist()), "<u8").reshape(-1, 4)
+    return (words[:, :3] & np.uint64(bits - 1)).astype(np.int64)
 
 
 def _test(bits: int, shared):
     def test(batches):
         again = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            at = _positions(batch["sha"], bits)
-            hit = ((again[at >> 3] >> (at & 7)) & 1).all(axis=1)
+            hit = bloom.held(again, digest_positions(batch, bits))
             yield batch.append_column("maybe", pa.array(hit, pa.bool_()))
 
     return test
@@ -115,10 +63,8 @@ def decide(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
     digests = materialize(source.mapInArrow(_digests, "doc_id long, row_hash long, sha binary, uid long"), "digests")
-    bits = 1 << 13
-    while bits < min(MAX_BITS, BITS_PER_ROW * digests.count()):
-        bits <<= 1
-    shared = spark.sparkContext.broadcast(fold_filter(digests, bits, "again").tobytes())
+    bits = bloom.bits_for(digests.count())
+    shared = spark.sparkContext.broadcast(bloom.fold(digests, digest_positions, bits, "again").tobytes())
     tested = digests.mapInArrow(_test(bits, shared), "doc_id long, row_hash long, sha binary, uid long, maybe boolean")
     tested = materialize(tested, "tested")
     once = tested.where("not maybe").select("doc_id", "row_hash", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))

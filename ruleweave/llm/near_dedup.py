@@ -6,8 +6,9 @@ its number picks. BANDS bands of equal bins give buckets. A bucket proposes a st
 all other members, so pairs grow with members, not with their square. Proposed pairs are confirmed on
 full shingle sets. A star can miss a link between two members that are not the hub's; so buckets
 whose members are still in several components get a second star around the member with most links, and
-then members of different components are compared by their sketches, in tiles of bounded size that only
-give out pairs that may be links. No bucket, pair or partner is dropped for its size.
+then their members are compared with their full sets in groups, one for each component that is the main
+one of an open bucket, cut into tiles of bounded size; a tile gives out only links that join components,
+fewer than it has members. No bucket, pair or partner is dropped for its size.
 """
 
 from __future__ import annotations
@@ -20,17 +21,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import forget, keep_rows, materialize, slices, texts
 from .components import components
-from .exact_dedup import BITS_PER_ROW, MAX_BITS, _partition, _positions, fold_filter
+from .exact_dedup import _partition, digest_positions
 
 #: 32 bands of 4 bins: a pair at similarity 0.8 shares none with probability 5e-8.
 BINS, BANDS = 128, 32
 #: Sketches of sets of at least BINS shingles agree in a smaller share of bins only if the similarity is
 #: below 0.8 (by some five standard deviations); smaller sets are always confirmed.
 LEAST_AGREEMENT = 0.62
-#: Members of a bucket that one tile holds, and shingles that one group of pairs is confirmed with.
-TILE, GROUP_SHINGLES = 4_000, 2_000_000
+#: Members and shingles that one side of a tile holds, about; shingles that one group of star pairs is
+#: confirmed with, about.
+TILE, TILE_SHINGLES, GROUP_SHINGLES = 4_000, 3_000_000, 2_000_000
 #: Distinct words whose hashes a worker keeps.
 WORD_CACHE = 400_000
 
@@ -152,31 +155,58 @@ def _likely(percent: int):
     return run
 
 
-def _compare(percent: int):
-    """Pairs of one tile that are in different components and may be links. A pair is left to the first
-    band that its two sketches share."""
+def _join_components(percent: int):
+    """Links of one tile between members of different components, as few as join what belongs together."""
 
     def run(tile: pa.Table) -> pa.Table:
-        tile = tile.sort_by("cid")
         cid, component, n, side = (tile[c].to_numpy() for c in ("cid", "component", "n", "side"))
-        signs = _signs(tile["sign"])
-        bands = np.array(tile["bands"].to_pylist(), np.int64)
-        band = tile["band"][0].as_py()
+        sets = [np.frombuffer(s, np.uint64) for s in tile["shingles"].to_pylist()]
+        _, token = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(token, kind="stable")
+        holders, ends = owner[order], np.searchsorted(token[order], np.arange(token.max() + 2))
+        begin = np.concatenate([[0], np.cumsum(n)])
+        _, label, sizes = np.unique(component, return_inverse=True, return_counts=True)
         mixed = len(np.unique(side)) > 1
-        names, inverse, sizes = np.unique(component, return_inverse=True, return_counts=True)
-        main = inverse == sizes.argmax()
-        out = []
-        for i in np.flatnonzero(~main):
-            ok = (component != component[i]) & (main | (np.arange(len(cid)) > i))
+        root = list(range(len(sizes)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        links = []
+        # A pair between two components has an end outside the largest; small components go first.
+        for i in sorted(np.flatnonzero(label != sizes.argmax()), key=lambda i: sizes[label[i]]):
+            held = [holders[ends[t] : ends[t + 1]] for t in token[begin[i] : begin[i + 1]]]
+            both = np.bincount(np.concatenate(held), minlength=len(sets))
+            ok = 100 * both >= percent * (n + n[i] - both)
             if mixed:
                 ok &= side != side[i]
-            ok &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
-            at = np.flatnonzero(ok)
-            at = at[(bands[at] == bands[i]).argmax(axis=1) == band]
-            at = at[((signs[at] == signs[i]).mean(axis=1) >= LEAST_AGREEMENT) | (np.minimum(n[at], n[i]) < BINS)]
-            out += [(cid[i], cid[j], max(component[i], component[j]) if main[i] == main[j] else component[j], n[i], n[j]) for j in at]
-        cols = list(zip(*out)) if out else [()] * 5
-        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("x", "y", "host", "nx", "ny"), cols)})
+            for j in np.flatnonzero(ok):
+                if (x := find(label[i])) != (y := find(label[j])):
+                    root[x] = y
+                    links.append((min(cid[i], cid[j]), max(cid[i], cid[j])))
+        return pa.table({c: pa.array([x[k] for x in links], pa.int64()) for k, c in enumerate("ab")})
+
+    return run
+
+
+def _band_positions(batch: pa.RecordBatch, bits: int) -> np.ndarray:
+    return bloom.spread(batch["bands"].flatten().to_numpy().view(np.uint64), bits)
+
+
+def _shared_bands(bits: int, shared):
+    """(bucket, cid) of the bands that another class may share."""
+
+    def run(batches):
+        again = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            bands = batch["bands"].flatten().to_numpy()
+            hit = np.flatnonzero(bloom.held(again, bloom.spread(bands.view(np.uint64), bits)))
+            cid = batch["cid"].to_numpy()[hit // BANDS]
+            yield pa.RecordBatch.from_arrays([pa.array(bands[hit]), pa.array(cid)], ["bucket", "cid"])
 
     return run
 
@@ -199,9 +229,7 @@ def _sets(width: int, bits: int, shared):
         cache = WordHashes()
         seen = np.frombuffer(shared.value, np.uint8)
         for batch in slices(batches, "text"):
-            at = _positions(batch["sha"], bits)
-            hit = ((seen[at >> 3] >> (at & 7)) & 1).all(axis=1)
-            batch = batch.filter(pa.array(hit))
+            batch = batch.filter(pa.array(bloom.held(seen, digest_positions(batch, bits))))
             for part in slices([batch], "text", 1 << 20):
                 found = shingle_sets(texts(part["text"]), width, cache)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["row_hash"], pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "row_hash", "shingles"])
@@ -229,12 +257,21 @@ class _Links:
         likely = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "host", "na", "sa", "nb", "sb")
         return self.confirm(likely.mapInArrow(_likely(self.percent), "a long, b long, host long, na long, nb long"))
 
-    def cross(self, still: DataFrame) -> bool:
-        """Propose the pairs of open buckets that are in different components and may be links."""
-        pairs = still.groupBy("bucket", "tile_a", "tile_b").applyInArrow(_compare(self.percent), "x long, y long, host long, nx long, ny long")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "host", F.col("nx").alias("na"), F.col("ny").alias("nb"))
-        pairs = pairs.groupBy("a", "b").agg(F.min("host").alias("host"), F.min("na").alias("na"), F.min("nb").alias("nb"))
-        return self.confirm(pairs.join(self.tested, ["a", "b"], "left_anti"))
+    def cross(self, still: DataFrame) -> None:
+        """Links between members of open buckets that are in different components."""
+        sizes = still.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+        hosts = sizes.groupBy("bucket").agg(F.max_by("component", "k").alias("host"))
+        grouped = still.join(hosts, "bucket").select("host", "cid", "component").distinct()
+        grouped = materialize(grouped.join(self.classes.select("cid", "n"), "cid"), "grouped")
+        cuts = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+        dealt = grouped.join(grouped.groupBy("host").agg(cuts.alias("cuts")), "host").withColumn("side", F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int"))
+        dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        dealt = dealt.select("host", F.least("side", "with").alias("tile_a"), F.greatest("side", "with").alias("tile_b"), "side", "cid", "component", "n")
+        sets = self.sets_of(grouped.select("cid").distinct())
+        tiles = dealt.join(sets, "cid").groupBy("host", "tile_a", "tile_b")
+        found = materialize(tiles.applyInArrow(_join_components(self.percent), "a long, b long"), "links")
+        forget(sets, grouped)
+        self.links = found if self.links is None else self.links.unionByName(found)
 
     def note(self, pairs: DataFrame) -> None:
         pairs = pairs.select("a", "b")
@@ -246,58 +283,46 @@ class _Links:
         likely = materialize(likely, "likely")
         if likely.isEmpty():
             return False
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        wanted = materialize(wanted.join(self.classes, "cid").select("cid", "doc_id", "row_hash"), "wanted")
-        sets = materialize(self._sets_of(wanted), "sets")
+        sets = self.sets_of(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
         parts = likely.groupBy("host").agg(F.ceil(F.sum(F.col("na") + F.col("nb")) / GROUP_SHINGLES).alias("parts"))
         other = F.when(F.col("a") == F.col("host"), F.col("b")).otherwise(F.col("a"))
         dealt = materialize(likely.join(parts, "host").select("a", "b", "host", F.pmod(F.xxhash64(other), F.col("parts")).alias("part")), "dealt")
         needed = dealt.select(F.col("host").alias("h"), F.col("part").alias("p"), F.explode(F.array("a", "b")).alias("cid")).distinct().join(sets, "cid")
         found = dealt.groupBy("host", "part").cogroup(needed.groupBy("h", "p")).applyInArrow(_confirm(self.percent), "a long, b long")
         found = materialize(found, "links")
-        forget(sets, wanted, likely, dealt)
+        forget(sets, likely, dealt)
         self.links = found if self.links is None else self.links.unionByName(found)
         return not found.isEmpty()
 
-    def _sets_of(self, wanted: DataFrame) -> DataFrame:
-        """Shingle sets of the wanted classes, each from the text of one row. A filter of bounded size
-        keeps other rows from being shingled or moved."""
+    def sets_of(self, cids: DataFrame) -> DataFrame:
+        """cid, shingles of classes, each from the text of one row. A filter of bounded size keeps other rows
+        from being shingled or moved."""
+        wanted = materialize(cids.join(self.classes, "cid").select("cid", "doc_id", "row_hash"), "wanted")
         key = F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("row_hash").cast("string")), 256)).alias("sha")
-        bits = 1 << 13
-        while bits < min(MAX_BITS, BITS_PER_ROW * wanted.count()):
-            bits <<= 1
-        seen = fold_filter(wanted.select(key), bits, "seen")
+        bits = bloom.bits_for(wanted.count())
+        seen = bloom.fold(wanted.select(key), digest_positions, bits, "seen")
         shared = wanted.sparkSession.sparkContext.broadcast(seen.tobytes())
         rows = self.docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash")).select("doc_id", "text", "row_hash", key)
         found = rows.mapInArrow(_sets(self.width, bits, shared), "doc_id long, row_hash long, shingles binary")
         same = found["doc_id"].eqNullSafe(wanted["doc_id"]) & (found["row_hash"] == wanted["row_hash"])
-        return found.join(wanted, same).select("cid", "shingles").dropDuplicates(["cid"])
+        return materialize(found.join(wanted, same).select("cid", "shingles").dropDuplicates(["cid"]), "sets")
 
 
 def _open(members: DataFrame, links: _Links) -> DataFrame:
     """Members of buckets of three or more whose members are in several components, with the member that
     has most links as hub."""
     if links.links is None:
-        placed = members.select("bucket", "band", "cid", F.col("cid").alias("component"), F.lit(0).cast("long").alias("degree"))
+        placed = members.select("bucket", "cid", F.col("cid").alias("component"), F.lit(0).cast("long").alias("degree"))
     else:
         degree = links.links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("degree"))
         known = components(links.links).withColumnRenamed("node", "cid").join(degree, "cid")
-        placed = members.join(known, "cid", "left").select("bucket", "band", "cid", F.coalesce("component", "cid").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        placed = members.join(known, "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
     placed = materialize(placed, "placed")
     buckets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("cid", "degree").alias("hub"))
     buckets = buckets.where("size > 2 and low < high").select("bucket", "size", "hub")
     return materialize(placed.join(buckets, "bucket"), "open")
 
 
-def _tiles(still: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of open buckets, dealt into pairs of tiles of about TILE members."""
-    full = still.join(classes.select("cid", "n", "sign", "bands"), "cid")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    full = full.withColumn("side", F.pmod(F.xxhash64("cid"), tiles).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    pair = [F.least("side", "with").alias("tile_a"), F.greatest("side", "with").alias("tile_b")]
-    return full.select("bucket", "band", "cid", "component", "n", "sign", "bands", "side", *pair)
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose shingle sets have 100 * intersection >= percent * union.
 
@@ -314,16 +339,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     one = some.groupBy("mark").agg(F.min(F.struct("uid", "doc_id", "row_hash", "n", "sign", "bands")).alias("one"), F.min(least).alias("least"))
     classes = materialize(one.select("mark", F.col("one.uid").alias("cid"), "one.doc_id", "one.row_hash", "one.n", "one.sign", "one.bands", "least"), "classes")
 
-    buckets = classes.select(F.posexplode("bands").alias("band", "bucket"), "cid")
+    # Bands that no other class shares are dropped by a filter before anything is shuffled by band.
+    bits = bloom.bits_for(BANDS * classes.count())
+    again = bloom.fold(classes.select("bands"), _band_positions, bits, "again")
+    shared = docs.sparkSession.sparkContext.broadcast(again.tobytes())
+    buckets = classes.select("cid", "bands").mapInArrow(_shared_bands(bits, shared), "bucket long, cid long")
     hubs = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("hub")).where("size > 1")
     members = materialize(buckets.join(hubs.select("bucket", "hub"), "bucket"), "members")
-    links = _Links(docs, classes, width, percent)
+    partnered = materialize(classes.join(members.select("cid").distinct(), "cid", "left_semi"), "partnered")
+    links = _Links(docs, partnered, width, percent)
     links.star(members)
     still = _open(members, links)
     if not still.isEmpty():
         if links.star(still.select("cid", "hub")):
             still = _open(members, links)
-        links.cross(_tiles(still, classes))
+        links.cross(still)
 
     classed = classes.select("mark", "cid", "least")
     if links.links is not None:

@@ -1,8 +1,10 @@
 import hashlib
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ruleweave.llm import bloom
 from ruleweave.llm import exact_dedup as E
 
 from .conftest import EDGES, make
@@ -38,7 +40,7 @@ def test_stage_keeps_one_row_of_each_text(spark, edges, empty):
 
 def test_overloaded_filter_gives_the_same(spark, edges, monkeypatch):
     """A filter too small for its rows only sends more of them through the shuffle."""
-    monkeypatch.setattr(E, "MAX_BITS", 1 << 6)
+    monkeypatch.setattr(bloom, "bits_for", lambda keys: 1 << 6)
     docs = make(spark, [(i, f"text {i % 700}") for i in range(1000)])
     got = E.decide(docs)
     assert got.where("kept").count() == 700 and got.where("group_size = 2").count() == 600
@@ -47,11 +49,8 @@ def test_overloaded_filter_gives_the_same(spark, edges, monkeypatch):
 def test_filter_has_every_repeated_digest(spark):
     docs = spark.range(300).select(F.unhex(F.sha2((F.col("id") % 250).cast("string"), 256)).alias("sha")).repartition(4)
     bits = 1 << 13
-    again = E.fold_filter(docs, bits, "again")
+    again = bloom.fold(docs, E.digest_positions, bits, "again")
     hit = {r.sha: None for r in docs.collect()}
-    import pyarrow as pa
-
-    at = E._positions(pa.array(list(hit), pa.binary()), bits)
-    held = ((again[at >> 3] >> (at & 7)) & 1).all(axis=1)
+    held = bloom.held(again, E.digest_positions(pa.RecordBatch.from_arrays([pa.array(list(hit), pa.binary())], ["sha"]), bits))
     repeated = {hashlib.sha256(str(i).encode()).digest() for i in range(50)}
     assert all(h for s, h in zip(hit, held) if s in repeated) and held.sum() < 80

@@ -100,7 +100,7 @@ def test_a_star_around_the_wrong_hub_loses_nothing(spark):
 
 
 def test_tiles_split_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(N, "TILE", 5)
+    monkeypatch.setattr(N, "TILE", 3)
     monkeypatch.setattr(N, "GROUP_SHINGLES", 2000)
     rows = near_copies(7, 80)
     got = N.near_duplicates(make(spark, rows), 2).collect()
