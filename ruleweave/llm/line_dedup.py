@@ -1,5 +1,11 @@
-"""Line dedup by pairwise alignment.
+"""Line dedup by shared runs of lines, and by pairwise alignment.
 
+`repeats` deletes each line that lies in a run of lines, of enough words, that an earlier document has
+too. A block that alignment deletes is such a run, so nothing is left that the alignment of any pair of
+documents would delete, and runs in another order go as well. A shared run is covered by its shared
+shortest windows of enough words, so it is enough to find each window's first holder: no pairs arise.
+
+`deletions` aligns each document with the first holders of its lines only, and so finds fewer.
 Documents that share a line are paired through its hash: every holder with the line's first holder, a
 star, so pairs grow with holders whatever a line's frequency. A rare line tells most of its two
 documents; a common one adds a pair with little else in common. Each pair is aligned with patience diff:
@@ -171,6 +177,74 @@ def deletions(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     return found.select("doc_id", "row_hash", "uid", "n_lines").join(gone, "uid", "left").select("doc_id", "row_hash", "n_lines", F.coalesce("deleted", none).alias("deleted"))
 
 
+def windows(words: list[int], least: int) -> set[tuple[int, int]]:
+    """First and last place of the shortest runs, from each line on and up to each, of `least` words.
+
+    White lines (no words) end runs. Any run of `least` words is the union of the windows inside it: a
+    line is in the window that ends at it, or else in the one from the run's start.
+    """
+    out: set[tuple[int, int]] = set()
+    for order in (range(len(words)), range(len(words) - 1, -1, -1)):
+        held, total = [], 0
+        for i in order:
+            if not words[i]:
+                held, total = [], 0
+                continue
+            held.append(i)
+            total += words[i]
+            while total - words[held[0]] >= least:
+                total -= words[held.pop(0)]
+            if total >= least:
+                out.add((min(held[0], i), max(held[0], i)))
+    return out
+
+
+def _runs(least: int):
+    def run(batches):
+        uid, task = 0, _partition() << 40
+        for batch in slices(batches, "text"):
+            hashes, places, sizes = [], [], []
+            for text in batch["text"].to_pylist():
+                lines = [x.strip() for x in (text or "").split("\n")]
+                digests = [xxhash.xxh64_digest(x) for x in lines]
+                at: dict[int, list[int]] = {}
+                for a, b in windows([len(x.split()) for x in lines], least):
+                    at.setdefault(xxhash.xxh64_intdigest(b"".join(digests[a : b + 1])) - (1 << 63), []).extend((a, b))
+                hashes.append(list(at))
+                places.append(list(at.values()))
+                sizes.append(len(lines) if text else 0)
+            n = len(hashes)
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["row_hash"], pa.array(np.arange(uid, uid + n) + task, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.list_(pa.int32())))],
+                ["doc_id", "row_hash", "uid", "n_lines", "hashes", "places"],
+            )
+            uid += n
+
+    return run
+
+
+def _covered(batches):
+    for batch in batches:
+        gone = []
+        for ends in batch["ends"].to_pylist():
+            gone.append(sorted({i for e in ends for a, b in zip(e[::2], e[1::2]) for i in range(a, b + 1)}))
+        yield pa.RecordBatch.from_arrays([batch["uid"], pa.array(gone, pa.list_(pa.int32()))], ["uid", "deleted"])
+
+
+def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """As `deletions`, with every line that is in a run of `least` words that an earlier document has."""
+    source = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
+    schema = "doc_id long, row_hash long, uid long, n_lines long, hashes array<long>, places array<array<int>>"
+    found = materialize(source.mapInArrow(_runs(least), schema), "runs")
+    run = found.select("doc_id", "uid", F.explode(F.arrays_zip("hashes", "places")).alias("r")).select("doc_id", "uid", F.col("r.hashes").alias("hash"), F.col("r.places").alias("ends"))
+    firsts = run.groupBy("hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "uid")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = materialize(firsts.select("hash", F.col("at.uid").alias("first")), "firsts")
+    shared = run.join(firsts, "hash").where("uid <> first").groupBy("uid").agg(F.collect_list("ends").alias("ends"))  # at most two windows a line
+    gone = shared.mapInArrow(_covered, "uid long, deleted array<int>")
+    none = F.array().cast("array<int>")
+    return found.select("doc_id", "row_hash", "uid", "n_lines").join(gone, "uid", "left").select("doc_id", "row_hash", "n_lines", F.coalesce("deleted", none).alias("deleted"))
+
+
 def spans(deleted: str) -> Column:
     """Line numbers as text, runs joined: 3-5,9-9."""
     empty = F.array().cast("array<struct<a:int,b:int>>")
@@ -188,7 +262,7 @@ def spans(deleted: str) -> Column:
 def clean(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """docs with the deleted lines taken out of text; all rows and other columns stay."""
     # Copies of a row differ in what they lose: rows of one id and text are numbered on both sides.
-    every = deletions(docs, least).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), F.col("deleted").alias("_deleted"))
+    every = repeats(docs, least).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), F.col("deleted").alias("_deleted"))
     number = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.size("_deleted")))
     every = every.withColumn("_n", number)
     keyed = docs.withColumn("_key", F.xxhash64("text"))

@@ -39,7 +39,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many are deleted, and which (runs of line numbers from 0)."""
-    found = line_dedup.deletions(_read(spark, sf_dir, "documents"))
+    found = line_dedup.repeats(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", F.size("deleted").cast("long").alias("n_deleted"), line_dedup.spans("deleted").alias("deleted_lines"))
 
 

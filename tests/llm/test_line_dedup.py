@@ -73,3 +73,40 @@ def test_alignment_is_a_common_subsequence(a, b):
             for j, y in enumerate(b):
                 longest[i + 1][j + 1] = longest[i][j] + 1 if x == y else max(longest[i][j + 1], longest[i + 1][j])
         assert len(pairs) == longest[-1][-1]
+
+
+def every_run(rows, least=5):
+    """Lines of each row in a run of `least` words that an earlier row has, by trying all runs; and those that alignment with each earlier row deletes."""
+    texts = [[x.strip() for x in (t or "").split("\n")] for _, t in rows]
+    runs, aligned, seen = {}, {}, set()
+    for g, b in enumerate(texts):
+        mine = {}
+        for i in range(len(b)):
+            for j in range(i, len(b)):
+                if not b[j]:
+                    break
+                if sum(len(x.split()) for x in b[i : j + 1]) >= least:
+                    mine[i, j] = tuple(b[i : j + 1])
+        runs[g] = sorted({n for (i, j), run in mine.items() if run in seen for n in range(i, j + 1)})
+        seen |= set(mine.values())
+        drop = set()
+        for a in texts[:g]:
+            common = set(a) & set(b) - {""}
+            for block in L.blocks(L.patience([(n, x) for n, x in enumerate(a) if x in common], [(n, x) for n, x in enumerate(b) if x in common])):
+                if sum(len(b[n].split()) for n in block) >= least:
+                    drop |= set(block)
+        aligned[g] = drop
+    return runs, aligned
+
+
+def test_all_shared_runs_against_every_pair(spark):
+    """A short line first held elsewhere cuts no run; what alignment of any overlapping pair deletes goes."""
+    rng = random.Random(4)
+    rows = [(0, "ok\nyes sir"), (1, "a b c\nok\nd e f\n\nyes sir\nend"), (2, "own line\na b c\nok\nd e f\n\nyes sir\nend")]
+    rows += [(3 + i, "\n".join(rng.choice(["", "ok", "yes sir", "end", *(f"l{k} w" for k in range(6)), f"own {i}"]) for _ in range(rng.randint(1, 14)))) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(0, 60, 3)]
+    got = {r.doc_id: r.deleted for r in L.repeats(make(spark, rows)).collect()}
+    runs, aligned = every_run(rows)
+    assert got == {rows[g][0]: d for g, d in runs.items()}
+    assert all(set(got[rows[g][0]]) >= d for g, d in aligned.items()) and got[2] == [1, 2, 3]
+    assert {r.doc_id: r.text for r in L.clean(make(spark, rows)).collect()}[2] == "own line\n\nyes sir\nend"
