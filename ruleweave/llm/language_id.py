@@ -13,17 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import Shared
 from .common import keep_rows, materialize, slices, texts
 
 BUCKETS = 1 << 15
-#: The model is fitted on at most so many labelled rows, those with the least hash of their id.
+#: Languages are counted over all labelled rows. The model is fitted on at most so many of them, dealt
+#: evenly to languages (one row each at least): those with the least hash in each.
 MAX_LABELLED = 20_000
-#: Languages beyond so many, by count, are not modelled.
-MAX_LANGUAGES = 200
 TEMPER, SMOOTH, HOST_WEIGHT, UNKNOWN = 0.2, 0.5, 20.0, 1e-4
 #: Share of any text that is numbers, names and the like: a language draws so much of it from noise.
 FOREIGN = 0.1
@@ -53,28 +52,43 @@ def gram_buckets(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(languages: tuple[str, ...]):
     def run(batches):
-        counts = np.zeros((len(languages), BUCKETS), np.int64)
+        counts: dict[int, np.ndarray] = {}  # of the languages that this task meets
         number = {x: i for i, x in enumerate(languages)}
         for batch in slices(batches, "text"):
             code, at = gram_buckets(texts(batch["text"]))
             for i, lang in enumerate(batch["lang"].to_pylist()):
-                np.add.at(counts[number[lang]], code[at[i] : at[i + 1]], 1)
-        lang, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(counts[lang, bucket])], ["lang", "bucket", "n"])
+                mine = counts.setdefault(number[lang], np.zeros(BUCKETS, np.int64))
+                np.add.at(mine, code[at[i] : at[i + 1]], 1)
+        for lang, mine in counts.items():
+            bucket = np.flatnonzero(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), lang), pa.int32()), pa.array(bucket, pa.int32()), pa.array(mine[bucket])], ["lang", "bucket", "n"])
 
     return run
 
 
+def even_quota(counts: list[int], most: int) -> int:
+    """Rows that each language may give, so that all give `most` at most; one at least."""
+    left, quota = most, 1
+    for i, n in enumerate(sorted(counts)):
+        quota = max(1, left // (len(counts) - i))
+        left -= min(n, quota)
+    return quota
+
+
 def fit(labelled: DataFrame, key: str, text: str = "text", lang: str = "lang", most: int = MAX_LABELLED) -> Model:
-    """Fit on at most `most` rows that have a language. Without any, the model has no language."""
-    rows = labelled.select(F.xxhash64(key).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null")
-    last = rows.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    sample = rows.where(F.col("h") <= last) if last is not None else rows.limit(0)
-    known = sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    """Fit every language of the rows, on at most `most` rows (or one each). Without any, the model has no language."""
+    rows = labelled.select(F.xxhash64(key, text).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null")
+    known = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).orderBy("lang").collect()  # one row a language
     languages = tuple(sorted(r["lang"] for r in known))
     if not languages:
         return Model((), np.zeros((0, BUCKETS), np.float32))
-    counted = sample.where(F.col("lang").isin(*languages)).select("text", "lang").mapInArrow(_count(languages), "lang int, bucket int, n long")
+    quota = even_quota([r["n"] for r in known], most)
+    # Hashes up to `last` hold the quota and some more; the exact cut is made among those.
+    wide = lambda n: min(1.0, (quota + 4 * quota**0.5 + 10) / n)
+    last = [(r["lang"], max(r["least"], int(wide(r["n"]) * ((1 << 64) - 1)) - (1 << 63)) if wide(r["n"]) < 1 else (1 << 63) - 1) for r in known]
+    near = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(last, "lang string, last long")), "lang").where("h <= last")
+    sample = near.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("_n") <= quota)
+    counted = sample.select("text", "lang").mapInArrow(_count(languages), "lang int, bucket int, n long")
     counts = np.full((len(languages), BUCKETS), SMOOTH)
     for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # at most languages x buckets
         counts[r["lang"], r["bucket"]] += r["n"]

@@ -65,3 +65,21 @@ def test_grams_stay_inside_a_text():
     code, at = L.gram_buckets([b"ab", b"", b"xyz"])
     one, _ = L.gram_buckets([b"xyz"])
     assert at.tolist() == [0, 2, 2, 5] and code[2:].tolist() == one.tolist()
+
+
+def test_rare_languages_are_answers(spark):
+    """A language far from the sample's size, and one of hundreds, are modelled and found."""
+    greek = ["η γλώσσα αυτή έχει λίγα κείμενα και πολλές λέξεις", "τα κείμενα αυτά είναι λίγα αλλά η γλώσσα έχει λέξεις", "πολλές λέξεις και λίγα κείμενα έχει αυτή η γλώσσα"]
+    rows = [(i, f"the cat and the dog number {i} went to the market with their friends", "en") for i in range(3000)] + [(5000 + i, t, "el") for i, t in enumerate(greek)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = L.fit(docs, "doc_id", most=40)
+    assert model.languages == ("el", "en")
+    got = L.identify(docs, model, ["doc_id"]).where("doc_id >= 5000").collect()
+    assert [(r.language, r.kept) for r in got] == [("el", True)] * 3
+    many = spark.createDataFrame([(i, f"word{i} of a language", f"x{i % 230:03}") for i in range(460)], "doc_id long, text string, lang string")
+    assert len(L.fit(many, "doc_id").languages) == 230
+
+
+def test_even_quota():
+    assert L.even_quota([3, 3000], 40) == 37 and L.even_quota([5, 5], 40) >= 5 and L.even_quota([9] * 50, 40) == 1
+    assert L.even_quota([100, 100, 100], 90) == 30
