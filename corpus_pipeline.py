@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleweave.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
-from ruleweave.llm.common import materialize
+from ruleweave.llm.common import forget, materialize, scratch
 from ruleweave.llm.queries import vocabulary
 
 
@@ -48,8 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and read back before the next."""
+    """All stages over documents; each stage's rows are written and read back before the next. What a
+    stage wrote besides its rows is deleted then, and so are the rows of the stage before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for n, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch():
+            kept = materialize(stage(spark, docs, sf_dir), name)
+        if n:
+            forget(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

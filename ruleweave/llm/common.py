@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,45 @@ def forget(*tables: DataFrame) -> None:
             _delete(table.sparkSession, path)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Delete at the end every table materialized inside, but for those that were materialized last."""
+    before = len(_OWNED)
+    yield
+    for spark, path in _OWNED[before:-1]:
+        _delete(spark, path.rsplit("/", 1)[0])
+    del _OWNED[before:-1]
+
+
+def partition() -> int:
+    """Number of the task's partition; 0 outside tasks."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
+
+
+def in_tasks(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), where a task's last act is to give its memory back: workers live on."""
+
+    def task(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every libc has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return df.mapInArrow(task, schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -103,10 +145,11 @@ def keep_rows(docs: DataFrame, verdict: DataFrame, kept: str) -> DataFrame:
     same = lambda a, hashed, t: a["doc_id"].eqNullSafe(t["doc_id"]) & (a[hashed] == t["row_hash"])
     some = verdict.where("kept")
     some = materialize(some.join(gone, same(some, "row_hash", gone), "left_semi"), "some")
-    keyed = docs.withColumn("_row_hash", F.xxhash64("text"))
-    left = keyed.join(gone, same(keyed, "_row_hash", gone), "left_anti")
+    row_hash = fresh(docs, "_row_hash")
+    keyed = docs.withColumn(row_hash, F.xxhash64("text"))
+    left = keyed.join(gone, same(keyed, row_hash, gone), "left_anti")
     if not some.isEmpty():
-        left = left.unionByName(keyed.join(some, same(keyed, "_row_hash", some), "left_semi").dropDuplicates(["doc_id", "_row_hash"]))
+        left = left.unionByName(keyed.join(some, same(keyed, row_hash, some), "left_semi").dropDuplicates(["doc_id", row_hash]))
     return left.select(*docs.columns)
 
 
@@ -120,6 +163,8 @@ def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column],
     A group is sorted bucket by bucket in many tasks; only the bucket counts of a group meet in
     one. df is read twice, so it must be a materialized table or as repeatable as one.
     """
+    if taken := {"_bucket", "_n", "_start", name} & set(df.columns):
+        raise ValueError(f"columns {sorted(taken)} are taken")
     keyed = df.withColumn("_bucket", bucket)
     counts = keyed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -27,3 +27,18 @@ def components(edges: DataFrame) -> DataFrame:
         if moved.where("moved").isEmpty():
             forget(both)
             return labels
+
+
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components with more edges (a, b): those of the old components that these join, put together."""
+    ends = edges
+    for end in "ab":
+        known = labels.select(F.col("node").alias(end), F.col("component").alias("c" + end))
+        ends = ends.join(known, end, "left").withColumn("c" + end, F.coalesce("c" + end, end))
+    ends = materialize(ends, "ends")
+    between = components(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    root = between.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    new = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+    out = materialize(labels.unionByName(new).join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+    forget(labels, ends, between)
+    return out

@@ -2,7 +2,9 @@
 
 Pass one folds the digests of all rows into two bit arrays, "seen" and "seen again"; pass two tests
 every digest against "seen again". Only rows whose bits are all set there are grouped by digest in a
-shuffle. The rest cannot have a copy and pass straight through.
+shuffle. The rest cannot have a copy and pass straight through. Digests are split by prefix into as
+many filters as they need, up to MAX_FILTERS, one after another, so that one broadcast lives at a time;
+beyond that many, filters fill up and more digests (some 40 bytes a row) go through the shuffle.
 """
 
 from __future__ import annotations
@@ -15,11 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import keep_rows, materialize, slices, texts
+from .common import in_tasks, keep_rows, materialize, partition, slices, texts
+
+#: Each is a pass over the digests.
+MAX_FILTERS = 8
+
 
 def _digests(batches):
-    uid = 0
-    task = _partition() << 40
+    uid, task = 0, partition() << 40
     for batch in slices(batches, "text"):
         found = [hashlib.sha256(t.lower()).digest() for t in texts(batch["text"])]
         yield pa.RecordBatch.from_arrays(
@@ -29,13 +34,6 @@ def _digests(batches):
         uid += len(found)
 
 
-def _partition() -> int:
-    from pyspark import TaskContext
-
-    context = TaskContext.get()
-    return context.partitionId() if context else 0
-
-
 def digest_positions(batch: pa.RecordBatch, bits: int) -> np.ndarray:
     """Bit positions of the digests in column `sha`."""
     words = np.frombuffer(b"".join(batch["sha"].to_pylist()), "<u8").reshape(-1, 4)
@@ -52,6 +50,23 @@ def _test(bits: int, shared):
     return test
 
 
+def _tested(digests: DataFrame) -> DataFrame:
+    """digests with `maybe`: false for those that surely occur once."""
+    rows = digests.count()
+    filters = min(MAX_FILTERS, max(1, -(-rows * bloom.BITS_PER_KEY // bloom.MAX_BITS)))
+    bits = bloom.bits_for(-(-rows // filters))
+    prefix = F.pmod(F.conv(F.hex(F.substring("sha", 32, 1)), 16, 10).cast("int"), F.lit(filters))
+    out = None
+    for i in range(filters):
+        part = digests if filters == 1 else digests.where(prefix == i)
+        shared = digests.sparkSession.sparkContext.broadcast(bloom.fold(part, digest_positions, bits, "again").tobytes())
+        tested = in_tasks(part, _test(bits, shared), "doc_id long, row_hash long, sha binary, uid long, maybe boolean")
+        tested = materialize(tested, "tested")
+        out = tested if out is None else out.unionByName(tested)
+        shared.unpersist()
+    return out
+
+
 def decide(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, row_hash, text_sha256, keep_id, group_size, kept.
 
@@ -60,17 +75,16 @@ def decide(docs: DataFrame) -> DataFrame:
     empty table gives no rows. Only doc_id and text are read; other columns may have any name.
     row_hash (a 64-bit hash of the raw text) tells apart rows that share a doc_id.
     """
-    spark = docs.sparkSession
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
-    digests = materialize(source.mapInArrow(_digests, "doc_id long, row_hash long, sha binary, uid long"), "digests")
-    bits = bloom.bits_for(digests.count())
-    shared = spark.sparkContext.broadcast(bloom.fold(digests, digest_positions, bits, "again").tobytes())
-    tested = digests.mapInArrow(_test(bits, shared), "doc_id long, row_hash long, sha binary, uid long, maybe boolean")
-    tested = materialize(tested, "tested")
+    tested = _tested(materialize(in_tasks(source, _digests, "doc_id long, row_hash long, sha binary, uid long"), "digests"))
     once = tested.where("not maybe").select("doc_id", "row_hash", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     several = tested.where("maybe")
-    best = several.groupBy("sha").agg(F.max(F.struct("doc_id", "uid")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    joined = several.join(best, "sha").select("doc_id", "row_hash", "sha", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"))
+    # Copies are counted before the shuffle. The groups are a table of their own, so that a group of any
+    # size is split in the join and not bound to the aggregate's partitions.
+    order = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    best = several.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.max_by("uid", order).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    best = materialize(best, "best")
+    joined = several.join(best, "sha").select("doc_id", "row_hash", "sha", "keep_id", "group_size", (F.col("uid") == F.col("best")).alias("kept"))
     both = once.unionByName(joined)
     return both.select("doc_id", "row_hash", F.lower(F.hex("sha")).alias("text_sha256"), "keep_id", "group_size", "kept")
 

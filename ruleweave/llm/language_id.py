@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import Shared
-from .common import keep_rows, materialize, slices, texts
+from .common import in_tasks, keep_rows, materialize, slices, texts
 
 BUCKETS = 1 << 15
 #: Languages are counted over all labelled rows. The model is fitted on at most so many of them, dealt
@@ -88,7 +88,7 @@ def fit(labelled: DataFrame, key: str, text: str = "text", lang: str = "lang", m
     last = [(r["lang"], max(r["least"], int(wide(r["n"]) * ((1 << 64) - 1)) - (1 << 63)) if wide(r["n"]) < 1 else (1 << 63) - 1) for r in known]
     near = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(last, "lang string, last long")), "lang").where("h <= last")
     sample = near.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("_n") <= quota)
-    counted = sample.select("text", "lang").mapInArrow(_count(languages), "lang int, bucket int, n long")
+    counted = in_tasks(sample.select("text", "lang"), _count(languages), "lang int, bucket int, n long")
     counts = np.full((len(languages), BUCKETS), SMOOTH)
     for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # at most languages x buckets
         counts[r["lang"], r["bucket"]] += r["n"]
@@ -145,7 +145,7 @@ def identify(rows: DataFrame, model: Model, keys: list[str], host: Column | None
     source = rows.select(*keys, "text", host.alias("_host"), markup.alias("_markup"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "text")
     shared = Shared(spark.sparkContext, model)
-    scored = source.mapInArrow(_score(shared, [*keys, "_host", "_markup"]), f"{kinds}, n_grams long, ll array<double>, post array<double>")
+    scored = in_tasks(source, _score(shared, [*keys, "_host", "_markup"]), f"{kinds}, n_grams long, ll array<double>, post array<double>")
     scored = materialize(scored.withColumn("_parent", F.when(F.col("_host").contains("."), F.substring_index("_host", ".", -2)).otherwise(F.lit(""))), "scored")
 
     # Host priors: sums of posteriors by host, of those by parent, of those over all.

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
-from .exact_dedup import _partition
+from .common import partition as _partition
 
 #: Blocks of fewer words stay: they are common by chance.
 LEAST_WORDS = 5

@@ -4,11 +4,12 @@ Documents with the same shingle set form a class; classes are the nodes. A sketc
 the least hash of its share of the hash range; an empty bin takes the value of a bin that a hash of
 its number picks. BANDS bands of equal bins give buckets. A bucket proposes a star: one hub against
 all other members, so pairs grow with members, not with their square. Proposed pairs are confirmed on
-full shingle sets. A star can miss a link between two members that are not the hub's; so buckets
-whose members are still in several components get a second star around the member with most links, and
-then their members are compared with their full sets in groups, one for each component that is the main
-one of an open bucket, cut into tiles of bounded size; a tile gives out only links that join components,
-fewer than it has members. No bucket, pair or partner is dropped for its size.
+full shingle sets. A star can miss a link between two members that are not the hub's. So members of
+buckets that are still in several components meet again, in finer buckets that two bands make together:
+a pair at similarity 0.8 shares some 80 of these, each of which picks a hub of its own and proposes a
+star between components. Rounds of this, with new hubs, go on until one links nothing. Every round
+proposes at most as many pairs as there are memberships; no bucket, pair or partner is dropped for its
+size. Sets too small to reach the similarity with any other set are classes only.
 """
 
 from __future__ import annotations
@@ -22,22 +23,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import forget, keep_rows, materialize, slices, texts
-from .components import components
-from .exact_dedup import _partition, digest_positions
+from .common import forget, in_tasks, keep_rows, materialize, partition, slices, texts
+from .components import components, extended
 
 #: 32 bands of 4 bins: a pair at similarity 0.8 shares none with probability 5e-8.
 BINS, BANDS = 128, 32
-#: Sketches of sets of at least BINS shingles agree in a smaller share of bins only if the similarity is
-#: below 0.8 (by some five standard deviations); smaller sets are always confirmed.
+#: Pairs of sets of at least BINS shingles whose sketches agree in a smaller share of bins are dropped
+#: unconfirmed: at similarity 0.8 that is five standard deviations off. Smaller sets are always confirmed.
 LEAST_AGREEMENT = 0.62
-#: Members and shingles that one side of a tile holds, about; shingles that one group of star pairs is
-#: confirmed with, about.
-TILE, TILE_SHINGLES, GROUP_SHINGLES = 4_000, 3_000_000, 2_000_000
-#: Distinct words whose hashes a worker keeps.
-WORD_CACHE = 400_000
+#: Shingles that one group of star pairs is confirmed with, about.
+GROUP_SHINGLES = 2_000_000
 
 _MIX1, _MIX2, _MIX3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+#: Orders null ids last.
+_LAST = (1 << 63) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,27 +47,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept up to a bound."""
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words, A-Z lower-cased. (A cache of words takes longer than hashing them.)"""
+    words = text.lower().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
-
-def shingle_sets(docs: list[bytes], width: int, cache: WordHashes) -> list[np.ndarray]:
+def shingle_sets(docs: list[bytes], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text. Words are what white space (space, tab to
     carriage return) separates, A-Z lower-cased; fewer than `width` words are one shingle."""
     out = []
-    get = cache.__getitem__
     for text in docs:
-        words = text.lower().split()
-        if not words:
-            out.append(np.zeros(0, np.uint64))
+        h = word_hashes(text)
+        if not len(h):
+            out.append(h)
             continue
-        h = np.fromiter(map(get, words), np.uint64, len(words))
         k = min(width, len(h))
         s = h[: len(h) - k + 1]
         for i in range(1, k):
@@ -114,25 +107,32 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return mix(key).view(np.int64)
 
 
-def _sketch(width: int):
+def linkable(n: int, percent: int) -> bool:
+    """Whether a set of n can reach the similarity with a different one: at best it has one element less."""
+    return n > 0 and 100 * n >= percent * (n + 1)
+
+
+def _sketch(width: int, percent: int):
     def run(batches):
-        cache, uid, task = WordHashes(), 0, _partition() << 40
+        uid, task = 0, partition() << 40
         for batch in slices(batches, "text"):
-            sets = shingle_sets(texts(batch["text"]), width, cache)
-            some = [i for i, s in enumerate(sets) if len(s)]
-            marks: list[bytes | None] = [None] * len(sets)
-            signs, bands = list(marks), list(marks)
+            sets = shingle_sets(texts(batch["text"]), width)
+            marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            cids = [int.from_bytes(m[:8], "little", signed=True) if m else None for m in marks]
+            some = [i for i, s in enumerate(sets) if linkable(len(s), percent)]
             values = sketches([sets[i] for i in some])
-            keys, low = band_keys(values), values.astype(np.uint16)
+            keys, low = band_keys(values), values.astype(np.uint8)
+            signs: list[bytes | None] = [None] * len(sets)
+            count = np.zeros(len(sets), np.int32)
             for row, i in enumerate(some):
-                marks[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                signs[i], bands[i] = low[row].tobytes(), keys[row]
+                signs[i], count[i] = low[row].tobytes(), BANDS
+            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"], batch["row_hash"], pa.array(np.arange(uid, uid + len(sets)) + task, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(marks, pa.binary()), pa.array(signs, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+                    pa.array(marks, pa.binary()), pa.array(cids, pa.int64()), pa.array(signs, pa.binary()), bands,
                 ],
-                ["doc_id", "row_hash", "uid", "n", "mark", "sign", "bands"],
+                ["doc_id", "row_hash", "uid", "n", "mark", "cid", "sign", "bands"],
             )
             uid += len(sets)
 
@@ -140,7 +140,7 @@ def _sketch(width: int):
 
 
 def _signs(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
 
 
 def _likely(percent: int):
@@ -155,62 +155,6 @@ def _likely(percent: int):
     return run
 
 
-def _join_components(percent: int):
-    """Links of one tile between members of different components, as few as join what belongs together."""
-
-    def run(tile: pa.Table) -> pa.Table:
-        cid, component, n, side = (tile[c].to_numpy() for c in ("cid", "component", "n", "side"))
-        sets = [np.frombuffer(s, np.uint64) for s in tile["shingles"].to_pylist()]
-        _, token = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), n)
-        order = np.argsort(token, kind="stable")
-        holders, ends = owner[order], np.searchsorted(token[order], np.arange(token.max() + 2))
-        begin = np.concatenate([[0], np.cumsum(n)])
-        _, label, sizes = np.unique(component, return_inverse=True, return_counts=True)
-        mixed = len(np.unique(side)) > 1
-        root = list(range(len(sizes)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        links = []
-        # A pair between two components has an end outside the largest; small components go first.
-        for i in sorted(np.flatnonzero(label != sizes.argmax()), key=lambda i: sizes[label[i]]):
-            held = [holders[ends[t] : ends[t + 1]] for t in token[begin[i] : begin[i + 1]]]
-            both = np.bincount(np.concatenate(held), minlength=len(sets))
-            ok = 100 * both >= percent * (n + n[i] - both)
-            if mixed:
-                ok &= side != side[i]
-            for j in np.flatnonzero(ok):
-                if (x := find(label[i])) != (y := find(label[j])):
-                    root[x] = y
-                    links.append((min(cid[i], cid[j]), max(cid[i], cid[j])))
-        return pa.table({c: pa.array([x[k] for x in links], pa.int64()) for k, c in enumerate("ab")})
-
-    return run
-
-
-def _band_positions(batch: pa.RecordBatch, bits: int) -> np.ndarray:
-    return bloom.spread(batch["bands"].flatten().to_numpy().view(np.uint64), bits)
-
-
-def _shared_bands(bits: int, shared):
-    """(bucket, cid) of the bands that another class may share."""
-
-    def run(batches):
-        again = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            bands = batch["bands"].flatten().to_numpy()
-            hit = np.flatnonzero(bloom.held(again, bloom.spread(bands.view(np.uint64), bits)))
-            cid = batch["cid"].to_numpy()[hit // BANDS]
-            yield pa.RecordBatch.from_arrays([pa.array(bands[hit]), pa.array(cid)], ["bucket", "cid"])
-
-    return run
-
-
 def _confirm(percent: int):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         held = dict(zip(sets["cid"].to_pylist(), sets["shingles"].to_pylist()))
@@ -224,14 +168,25 @@ def _confirm(percent: int):
     return run
 
 
+def _key_positions(batch: pa.RecordBatch, bits: int) -> np.ndarray:
+    """Bit positions of the hashes in column `key`."""
+    keys = batch["key"].to_numpy().view(np.uint64)
+    parts = (keys, mix(keys), mix(keys ^ _MIX2))
+    return np.stack([p & np.uint64(bits - 1) for p in parts], axis=1).astype(np.int64)
+
+
 def _sets(width: int, bits: int, shared):
     def run(batches):
-        cache = WordHashes()
+        met = set()
         seen = np.frombuffer(shared.value, np.uint8)
         for batch in slices(batches, "text"):
-            batch = batch.filter(pa.array(bloom.held(seen, digest_positions(batch, bits))))
-            for part in slices([batch], "text", 1 << 20):
-                found = shingle_sets(texts(part["text"]), width, cache)
+            batch = batch.filter(pa.array(bloom.held(seen, _key_positions(batch, bits))))
+            again = np.ones(batch.num_rows, bool)
+            for i, key in enumerate(batch["key"].to_pylist()):  # a repeated row is sent once
+                again[i] = key not in met
+                met.add(key)
+            for part in slices([batch.filter(pa.array(again))], "text", 1 << 20):
+                found = shingle_sets(texts(part["text"]), width)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["row_hash"], pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "row_hash", "shingles"])
 
     return run
@@ -243,84 +198,70 @@ class _Links:
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> None:
         self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
         self.tested: DataFrame | None = None
-        self.links: DataFrame | None = None
+        self.labels: DataFrame | None = None  # node, component of all that is linked so far
 
     def star(self, members: DataFrame) -> bool:
         """Propose (hub, member) for members (cid, hub); true if there are new links."""
-        pairs = members.where("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"), F.col("hub").alias("host"))
-        pairs = pairs.groupBy("a", "b").agg(F.min("host").alias("host"))
+        pairs = members.where("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"), "hub")
+        pairs = pairs.groupBy("a", "b").agg(F.min("hub").alias("host"))
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        self.note(pairs)
+        self.tested = pairs.select("a", "b") if self.tested is None else self.tested.unionByName(pairs.select("a", "b"))
         sides = [self.classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}")) for c in "ab"]
         likely = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "host", "na", "sa", "nb", "sb")
-        return self.confirm(likely.mapInArrow(_likely(self.percent), "a long, b long, host long, na long, nb long"))
-
-    def cross(self, still: DataFrame) -> None:
-        """Links between members of open buckets that are in different components."""
-        sizes = still.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-        hosts = sizes.groupBy("bucket").agg(F.max_by("component", "k").alias("host"))
-        grouped = still.join(hosts, "bucket").select("host", "cid", "component").distinct()
-        grouped = materialize(grouped.join(self.classes.select("cid", "n"), "cid"), "grouped")
-        cuts = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
-        dealt = grouped.join(grouped.groupBy("host").agg(cuts.alias("cuts")), "host").withColumn("side", F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int"))
-        dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        dealt = dealt.select("host", F.least("side", "with").alias("tile_a"), F.greatest("side", "with").alias("tile_b"), "side", "cid", "component", "n")
-        sets = self.sets_of(grouped.select("cid").distinct())
-        tiles = dealt.join(sets, "cid").groupBy("host", "tile_a", "tile_b")
-        found = materialize(tiles.applyInArrow(_join_components(self.percent), "a long, b long"), "links")
-        forget(sets, grouped)
-        self.links = found if self.links is None else self.links.unionByName(found)
-
-    def note(self, pairs: DataFrame) -> None:
-        pairs = pairs.select("a", "b")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-
-    def confirm(self, likely: DataFrame) -> bool:
-        """Confirm pairs on full sets. Pairs with one host (a hub or a component) meet in one group, or in
-        several if their sets are many, so a set is sent once to a group and not once for each pair."""
-        likely = materialize(likely, "likely")
+        likely = materialize(in_tasks(likely, _likely(self.percent), "a long, b long, host long, na long, nb long"), "likely")
         if likely.isEmpty():
             return False
-        sets = self.sets_of(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+        found = materialize(self.confirm(likely), "links")
+        forget(likely)
+        gained = not found.isEmpty()
+        if gained:
+            self.labels = components(found) if self.labels is None else extended(self.labels, found)
+        return gained
+
+    def confirm(self, likely: DataFrame) -> DataFrame:
+        """The pairs that full sets confirm. Pairs with one host meet in one group, or in several if their
+        sets are many, so a set is sent once to a group and not once for each pair."""
         parts = likely.groupBy("host").agg(F.ceil(F.sum(F.col("na") + F.col("nb")) / GROUP_SHINGLES).alias("parts"))
         other = F.when(F.col("a") == F.col("host"), F.col("b")).otherwise(F.col("a"))
-        dealt = materialize(likely.join(parts, "host").select("a", "b", "host", F.pmod(F.xxhash64(other), F.col("parts")).alias("part")), "dealt")
-        needed = dealt.select(F.col("host").alias("h"), F.col("part").alias("p"), F.explode(F.array("a", "b")).alias("cid")).distinct().join(sets, "cid")
-        found = dealt.groupBy("host", "part").cogroup(needed.groupBy("h", "p")).applyInArrow(_confirm(self.percent), "a long, b long")
-        found = materialize(found, "links")
-        forget(sets, likely, dealt)
-        self.links = found if self.links is None else self.links.unionByName(found)
-        return not found.isEmpty()
-
-    def sets_of(self, cids: DataFrame) -> DataFrame:
-        """cid, shingles of classes, each from the text of one row. A filter of bounded size keeps other rows
-        from being shingled or moved."""
-        wanted = materialize(cids.join(self.classes, "cid").select("cid", "doc_id", "row_hash"), "wanted")
-        key = F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("row_hash").cast("string")), 256)).alias("sha")
+        dealt = likely.join(materialize(parts, "parts"), "host").select("a", "b", "host", F.pmod(F.xxhash64(other), F.col("parts")).alias("part"))
+        needed = dealt.select(F.col("host").alias("h"), F.col("part").alias("p"), F.explode(F.array("a", "b")).alias("cid")).distinct()
+        return dealt.groupBy("host", "part").cogroup(self.sets_of(needed).groupBy("h", "p")).applyInArrow(_confirm(self.percent), "a long, b long")
+
+    def sets_of(self, needed: DataFrame) -> DataFrame:
+        """needed (cid, h, p) with the shingles of the class, from the text of one of its rows. A filter of
+        bounded size keeps other rows from being shingled or moved."""
+        wanted = materialize(needed.join(self.classes, "cid").select("cid", "h", "p", "doc_id", "row_hash"), "wanted")
+        key = F.xxhash64(F.coalesce("doc_id", F.lit(_LAST)), "row_hash").alias("key")
         bits = bloom.bits_for(wanted.count())
-        seen = bloom.fold(wanted.select(key), digest_positions, bits, "seen")
+        seen = bloom.fold(wanted.select(key), _key_positions, bits, "seen")
         shared = wanted.sparkSession.sparkContext.broadcast(seen.tobytes())
         rows = self.docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash")).select("doc_id", "text", "row_hash", key)
-        found = rows.mapInArrow(_sets(self.width, bits, shared), "doc_id long, row_hash long, shingles binary")
+        found = in_tasks(rows, _sets(self.width, bits, shared), "doc_id long, row_hash long, shingles binary")
         same = found["doc_id"].eqNullSafe(wanted["doc_id"]) & (found["row_hash"] == wanted["row_hash"])
-        return materialize(found.join(wanted, same).select("cid", "shingles").dropDuplicates(["cid"]), "sets")
+        return found.join(wanted, same).select("cid", "h", "p", "shingles")
 
 
-def _open(members: DataFrame, links: _Links) -> DataFrame:
-    """Members of buckets of three or more whose members are in several components, with the member that
-    has most links as hub."""
-    if links.links is None:
-        placed = members.select("bucket", "cid", F.col("cid").alias("component"), F.lit(0).cast("long").alias("degree"))
-    else:
-        degree = links.links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("degree"))
-        known = components(links.links).withColumnRenamed("node", "cid").join(degree, "cid")
-        placed = members.join(known, "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    placed = materialize(placed, "placed")
-    buckets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("cid", "degree").alias("hub"))
-    buckets = buckets.where("size > 2 and low < high").select("bucket", "size", "hub")
-    return materialize(placed.join(buckets, "bucket"), "open")
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """cid, component and buckets (at most BANDS) of members whose buckets are in several components."""
+    known = labels.withColumnRenamed("node", "cid")
+    placed = materialize(members.join(known, "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("component")), "placed")
+    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    found = placed.join(materialize(split, "split"), "bucket").groupBy("cid", "component").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
+    found = materialize(found, "open")
+    forget(placed)
+    return found
+
+
+def _finer(still: DataFrame, salt: int) -> DataFrame:
+    """cid, hub of stars between components, in buckets that two bands make together."""
+    later = lambda b, i: F.transform(F.slice("buckets", i + 2, BANDS), lambda c: F.xxhash64(b, c))
+    fine = still.select("cid", "component", F.explode(F.flatten(F.transform("buckets", later))).alias("fine"))
+    order = F.xxhash64("cid", "fine", F.lit(salt))
+    hubs = fine.groupBy("fine").agg(F.min_by("cid", order).alias("hub"), F.min_by("component", order).alias("home"), F.min("component").alias("low"), F.max("component").alias("high"))
+    hubs = materialize(hubs.where("low < high").select("fine", "hub", "home"), "hubs")
+    return fine.join(hubs, "fine").where("component <> home").select("cid", "hub")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -330,40 +271,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     (doc_id = component_id), row_kept (one row of each component). Null, empty and white texts have no
     shingles and are linked with nothing: component_id is their own doc_id, and they stay. Rows of one
     doc_id are nodes of their own; null ids are never a component's least unless all are null. An
-    empty table gives no rows. Only doc_id and text are read.
+    empty table gives no rows. Only doc_id and text are read. Classes are told apart by 128 bits of their
+    sets' hashes, and by 64 of these while links are looked for.
     """
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
-    found = materialize(source.mapInArrow(_sketch(width), "doc_id long, row_hash long, uid long, n long, mark binary, sign binary, bands array<long>"), "sketches")
-    some = found.where("n > 0")
-    least = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "uid")
-    one = some.groupBy("mark").agg(F.min(F.struct("uid", "doc_id", "row_hash", "n", "sign", "bands")).alias("one"), F.min(least).alias("least"))
-    classes = materialize(one.select("mark", F.col("one.uid").alias("cid"), "one.doc_id", "one.row_hash", "one.n", "one.sign", "one.bands", "least"), "classes")
-
-    # Bands that no other class shares are dropped by a filter before anything is shuffled by band.
-    bits = bloom.bits_for(BANDS * classes.count())
-    again = bloom.fold(classes.select("bands"), _band_positions, bits, "again")
-    shared = docs.sparkSession.sparkContext.broadcast(again.tobytes())
-    buckets = classes.select("cid", "bands").mapInArrow(_shared_bands(bits, shared), "bucket long, cid long")
-    hubs = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("hub")).where("size > 1")
-    members = materialize(buckets.join(hubs.select("bucket", "hub"), "bucket"), "members")
-    partnered = materialize(classes.join(members.select("cid").distinct(), "cid", "left_semi"), "partnered")
-    links = _Links(docs, partnered, width, percent)
-    links.star(members)
-    still = _open(members, links)
-    if not still.isEmpty():
-        if links.star(still.select("cid", "hub")):
-            still = _open(members, links)
-        links.cross(still)
-
-    classed = classes.select("mark", "cid", "least")
-    if links.links is not None:
-        joined = components(links.links).withColumnRenamed("node", "cid")
-        together = classed.join(joined, "cid")
-        lowest = together.groupBy("component").agg(F.min("least").alias("lowest"))
-        better = together.join(lowest, "component").select("cid", "lowest")
-        classed = classed.join(better, "cid", "left").select("mark", F.coalesce("lowest", "least").alias("least"))
+    found = materialize(in_tasks(source, _sketch(width, percent), "doc_id long, row_hash long, uid long, n long, mark binary, cid long, sign binary, bands array<long>"), "sketches")
+    order = F.coalesce("doc_id", F.lit(_LAST))
+    classes = found.where("n > 0").groupBy("mark").agg(F.min("cid").alias("cid"), F.min("doc_id").alias("least"), F.min_by("uid", order).alias("best"))
+    classes = materialize(classes, "classes")
+
+    bands = found.select(F.explode("bands").alias("bucket"), "cid")
+    hubs = bands.groupBy("bucket").agg(F.min("cid").alias("hub"), F.max("cid").alias("top"), F.count(F.lit(1)).alias("size"))
+    hubs = materialize(hubs.where("hub < top").select("bucket", "hub", "size"), "hubs")
+    members = materialize(bands.join(hubs, "bucket").groupBy("bucket", "cid").agg(F.min("hub").alias("hub"), F.min("size").alias("size")), "members")
+    forget(hubs)
+    chosen = members.select("cid").distinct().join(classes, "cid").select(F.col("best").alias("uid"))
+    partnered = found.join(chosen, "uid", "left_semi").select("cid", "n", "sign", "doc_id", "row_hash")
+    links = _Links(docs, materialize(partnered, "partnered"), width, percent)
+    larger, salt = members.where("size > 2").select("bucket", "cid"), 0
+    gained = links.star(members.select("cid", "hub"))
+    while gained:
+        still = _open(larger, links.labels)
+        gained = not still.isEmpty() and links.star(_finer(still, salt))
+        salt += 1
+    forget(members)
+
+    if links.labels is None:
+        classed = classes.select("mark", F.col("least").alias("component_id"), "best")
+    else:
+        joined = links.labels.withColumnRenamed("node", "cid")
+        together = materialize(classes.join(joined, "cid").select("mark", "component", "least", "best"), "together")
+        lowest = together.groupBy("component").agg(F.min("least").alias("lowest"), F.min_by("best", F.coalesce("least", F.lit(_LAST))).alias("first"))
+        better = together.join(materialize(lowest, "lowest"), "component").select("mark", "lowest", "first")
+        classed = classes.join(better, "mark", "left").select("mark", F.when(F.col("first").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("component_id"), F.coalesce("first", "best").alias("best"))
+        classed = materialize(classed, "classed")
+        forget(classes, together)
     rows = found.select("doc_id", "row_hash", "uid", "n", "mark")
-    linked = rows.where("n > 0").join(classed.select("mark", "least"), "mark").select("doc_id", "row_hash", "uid", "n", F.col("least.doc_id").alias("component_id"), F.col("least.uid").alias("best"))
+    linked = rows.where("n > 0").join(classed, "mark").select("doc_id", "row_hash", "uid", "n", "component_id", "best")
     alone = rows.where("n = 0").select("doc_id", "row_hash", "uid", "n", F.col("doc_id").alias("component_id"), F.col("uid").alias("best"))
     return linked.unionByName(alone).select(
         "doc_id", "row_hash", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("uid") == F.col("best")).alias("row_kept")

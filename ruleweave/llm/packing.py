@@ -10,6 +10,8 @@ sequence by their rank among pieces of equal length, in a join and a distributed
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import zlib
 
 import numpy as np
@@ -17,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import Cache
-from .common import bucket_count, materialize, ranked, slices
+from .common import bucket_count, in_tasks, materialize, ranked, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -29,48 +30,66 @@ NODE_LIMIT = 20_000
 # -- tokens ---------------------------------------------------------------------------------
 
 
-_ENCODERS = Cache()
+#: Texts with so many characters in a row that are all white, or none, go to `tokenizers`, which takes time
+#: in proportion to them; the other's regular expressions overflow on some.
+LONG_RUN = 4096
+_RUNS = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
+#: Fixed: how the `ByteLevel` pre-tokenizer cuts a text.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_CUTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def _encoder(vocabulary: str):
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = _load_encoder(vocabulary)
-    return _ENCODERS[vocabulary]
+def _ranks(spec: dict) -> dict[bytes, int] | None:
+    """Bytes of each token and its rank, if the file says what ranks can: a byte-level vocabulary without
+    normalizer whose merges give tokens in the order of their ids."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = not (spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
+    if model.get("type", "BPE") != "BPE" or not plain or any(cut.get(k) != v for k, v in _BYTE_LEVEL.items()):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    vocab = model["vocab"]
+    merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    single = [vocab.get(c) for c in byte_of]
+    if None in merged or None in single or any(a >= b for a, b in zip(merged, merged[1:])) or (merged and max(single) >= merged[0]):
+        return None
+    made = set(merged) | set(single)
+    return {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if i in made}
 
 
-def _load_encoder(vocabulary: str):
+def load_encoder(vocabulary: str):
     """text -> ids, as tokenizers.Tokenizer.from_file(vocabulary).encode(text, add_special_tokens=False).
 
-    Runs the vocabulary's merges, by their ranks, in tiktoken, which is several times faster; a text
-    that spells a special token goes to the tokenizer itself.
+    Runs the vocabulary's merges, by their ranks, in tiktoken, which is several times faster. A text that
+    spells a special token or has a very long run goes to the tokenizer itself, which is loaded when the
+    first such text comes; so does every text if ranks cannot stand for the file.
     """
-    import json
-
     import tiktoken
     from tokenizers import Tokenizer
 
     with open(vocabulary, encoding="utf-8") as f:
         spec = json.load(f)
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-    specials = [t["content"] for t in spec["added_tokens"]]
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in specials}
-    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    exact = Tokenizer.from_file(vocabulary)
+    specials = [t["content"] for t in spec.get("added_tokens") or ()]
+    ranks = _ranks(spec)
+    del spec
+    fast = tiktoken.Encoding("ranks", pat_str=_CUTS, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+    exact: list = []
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in specials):
-            return np.array(exact.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.array(fast.encode_ordinary(text), "<u4")
+        if fast and not any(s in text for s in specials) and not (len(text) >= LONG_RUN and _RUNS.search(text)):
+            return np.array(fast.encode_ordinary(text), "<u4")
+        if not exact:
+            exact.append(Tokenizer.from_file(vocabulary))
+        return np.array(exact[0].encode(text, add_special_tokens=False).ids, "<u4")
 
     return encode
 
 
 def _pieces(vocabulary: str, capacity: int, with_ids: bool):
     def pieces(batches):
-        encode = _encoder(vocabulary)
+        encode = None
         for batch in slices(batches, "text"):
+            encode = encode or load_encoder(vocabulary)
             rows = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 ids = np.append(encode(text or ""), np.uint32(END_ID)).astype("<u4")
@@ -92,7 +111,7 @@ def _pieces(vocabulary: str, capacity: int, with_ids: bool):
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of each piece of at most `capacity` tokens."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(_pieces(vocabulary, capacity, with_ids), schema)
+    return in_tasks(docs.select("doc_id", "text"), _pieces(vocabulary, capacity, with_ids), schema)
 
 
 # -- search ---------------------------------------------------------------------------------
@@ -341,4 +360,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: b
             yield kept.append_column("sequence_id", pa.array(where)).append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ordered.select(*pieces.columns, "_rank").mapInArrow(place, schema)
+    return in_tasks(ordered.select(*pieces.columns, "_rank"), place, schema)

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, materialize, ranked, slices, texts
-from .near_dedup import WordHashes, mix
+from .common import bucket_count, in_tasks, materialize, ranked, slices, texts
+from .near_dedup import mix, word_hashes
 
 #: Hashed features: words and pairs of neighbours.
 BUCKETS = 10_000
@@ -30,20 +30,19 @@ SEED = 17
 LAST_ROWS = 10_000
 
 
-def feature_buckets(docs: list[bytes], cache: WordHashes) -> list[np.ndarray]:
+def feature_buckets(docs: list[bytes]) -> list[np.ndarray]:
     out = []
     for text in docs:
-        words = text.lower().split()
-        h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        h = word_hashes(text)
         pairs = mix(mix(h[:-1]) + h[1:])
         out.append((np.concatenate([h, pairs]) % np.uint64(BUCKETS)).astype(np.int64))
     return out
 
 
 def _counts(batches):
-    cache, counts = WordHashes(), np.zeros((2, BUCKETS), np.int64)
+    counts = np.zeros((2, BUCKETS), np.int64)
     for batch in slices(batches, "text"):
-        found = feature_buckets(texts(batch["text"]), cache)
+        found = feature_buckets(texts(batch["text"]))
         target = batch["target"].to_pylist()
         counts[0] += np.bincount(np.concatenate(found), minlength=BUCKETS)
         chosen = [f for f, t in zip(found, target) if t]
@@ -58,7 +57,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> np.ndar
     the target model those of at most `most` ids labelled with quality 1. Without any, all are 0."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     marked = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("target", F.lit(True))), "doc_id", "left")  # at most `most` ids
-    counted = marked.select("text", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(_counts, "bucket long, raw long, target long")
+    counted = in_tasks(marked.select("text", F.coalesce("target", F.lit(False)).alias("target")), _counts, "bucket long, raw long, target long")
     counts = np.zeros((2, BUCKETS))
     for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toLocalIterator():  # at most BUCKETS rows
         counts[:, r["bucket"]] += r["raw"], r["target"]
@@ -71,9 +70,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> np.ndar
 
 def _weigh(shared):
     def run(batches):
-        ratio, cache = shared.value, WordHashes()
+        ratio = shared.value
         for batch in slices(batches, "text"):
-            found = feature_buckets(texts(batch["text"]), cache)
+            found = feature_buckets(texts(batch["text"]))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["row_hash"], pa.array([len(f) for f in found], pa.int64()), pa.array([float(ratio[f].sum()) for f in found], pa.float64())],
                 ["doc_id", "row_hash", "n_features", "log_weight"],
@@ -86,7 +85,7 @@ def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """doc_id, row_hash, n_features, log_weight of every row; null and empty texts weigh 0."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
-    return source.mapInArrow(_weigh(shared), "doc_id long, row_hash long, n_features long, log_weight double")
+    return in_tasks(source, _weigh(shared), "doc_id long, row_hash long, n_features long, log_weight double")
 
 
 def top_rows(scored: DataFrame, key: str, k: int) -> DataFrame:

@@ -99,14 +99,23 @@ def test_a_star_around_the_wrong_hub_loses_nothing(spark):
     assert key((r.doc_id, r.n_shingles, r.component_id) for r in got) == key(brute(rows, 2))
 
 
-def test_tiles_split_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(N, "TILE", 3)
+def test_small_groups_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(N, "GROUP_SHINGLES", 2000)
     rows = near_copies(7, 80)
     got = N.near_duplicates(make(spark, rows), 2).collect()
     assert key((r.doc_id, r.n_shingles, r.component_id) for r in got) == key(brute(rows, 2))
 
 
+def test_recall_of_links(spark):
+    """Every link at 0.8 among documents near the bound joins its ends, as far as components show."""
+    rows = near_copies(21, 900)
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(make(spark, rows), 2).collect()}
+    sets = {i: shingles(t, 2) for i, t in rows}
+    links = [(i, j) for i in sets for j in sets if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(links) > 700
+    assert sum(got[i] == got[j] for i, j in links) >= 0.99 * len(links)
+
+
 def test_sketch_agreement_estimates_similarity():
     rng = np.random.default_rng(0)
     errors = []

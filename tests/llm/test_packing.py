@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -14,12 +15,29 @@ from ruleweave.llm.queries import vocabulary
 from .conftest import EDGES, make
 
 TOKENIZER = Tokenizer.from_file(vocabulary())
+ENCODE = P.load_encoder(vocabulary())
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(st.text(max_size=40), st.text("ab 's\n\t<|endoftext|>é漢\u00a0\u2003 1²", max_size=40), st.sampled_from(["<|endoftext|>", "a<|endoftext|> b", "don't  we'LL\n\n x"])))
 def test_same_ids_as_the_tokenizer(text):
-    assert P._encoder(vocabulary())(text).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert ENCODE(text).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("unit", [" ", "\t", "\n", "a", "!", "\u2003", "\x1c", " \n"])
+def test_very_long_runs(unit):
+    for text in (unit * (2_000_000 if unit in " a" else 300_000), "start" + unit * 50_000 + " end"):
+        assert ENCODE(text).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_files_that_ranks_cannot_stand_for(tmp_path):
+    spec = json.load(open(vocabulary()))
+    assert P._ranks(spec)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}):
+        assert P._ranks(spec | change) is None
+    path = tmp_path / "lower.json"
+    path.write_text(json.dumps(spec | {"normalizer": {"type": "Lowercase"}}))
+    assert P.load_encoder(str(path))("Some WORDS").tolist() == TOKENIZER.encode("some words").ids
 
 
 def test_pieces_and_sequences(spark, edges, empty):

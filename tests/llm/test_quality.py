@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ruleweave.llm import quality as Q
 from ruleweave.llm.common import materialize
-from ruleweave.llm.near_dedup import WordHashes
 
 from .conftest import EDGES, make
 
@@ -30,7 +29,7 @@ def test_weights_are_log_ratios(spark):
     docs = make(spark, rows)
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
     ratio = Q.fit(docs, labels)
-    found = Q.feature_buckets([(t or "").encode() for _, t in rows], WordHashes())
+    found = Q.feature_buckets([(t or "").encode() for _, t in rows])
     counts = [np.zeros(Q.BUCKETS) for _ in range(2)]
     for f, (i, _) in zip(found, rows):
         np.add.at(counts[0], f, 1)
