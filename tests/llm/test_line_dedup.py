@@ -8,27 +8,26 @@ from ruleweave.llm import line_dedup as L
 from .conftest import EDGES, make
 
 
+def sequence(text):
+    return [(n, x.strip()) for n, x in enumerate((text or "").split("\n")) if x.strip()]
+
+
 def brute(rows, least=5):
-    """Lines to delete of each row: aligned with the first holder of each line, in order of ids."""
+    """Lines in a run of `least` words that an earlier row has as well, by trying all runs of all pairs of rows."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
-    first, out = {}, {}
-    for i in order:
-        lines = [x.strip() for x in (rows[i][1] or "").split("\n")]
-        shared = {}
-        for line in set(lines) - {""}:
-            if line in first:
-                shared.setdefault(first[line], set()).add(line)
-        drop = set()
-        for j, common in shared.items():
-            other = [x.strip() for x in rows[j][1].split("\n")]
-            a = [(n, x) for n, x in enumerate(other) if x in common]
-            b = [(n, x) for n, x in enumerate(lines) if x in common]
-            for block in L.blocks(L.patience(a, b)):
-                if sum(len(lines[n].split()) for n in block) >= least:
-                    drop |= set(block)
-        for line in set(lines) - {""}:
-            first.setdefault(line, i)
-        out[i] = sorted(drop)
+    out = {}
+    for n, g in enumerate(order):
+        b, drop = sequence(rows[g][1]), set()
+        for e in order[:n]:
+            a = sequence(rows[e][1])
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    k = 0
+                    while i + k < len(a) and j + k < len(b) and a[i + k][1] == b[j + k][1]:
+                        k += 1
+                    if sum(len(x.split()) for _, x in b[j : j + k]) >= least:
+                        drop |= {m for m, _ in b[j : j + k]}
+        out[g] = sorted(drop)
     return out
 
 
@@ -75,38 +74,37 @@ def test_alignment_is_a_common_subsequence(a, b):
         assert len(pairs) == longest[-1][-1]
 
 
-def every_run(rows, least=5):
-    """Lines of each row in a run of `least` words that an earlier row has, by trying all runs; and those that alignment with each earlier row deletes."""
-    texts = [[x.strip() for x in (t or "").split("\n")] for _, t in rows]
-    runs, aligned, seen = {}, {}, set()
-    for g, b in enumerate(texts):
-        mine = {}
-        for i in range(len(b)):
-            for j in range(i, len(b)):
-                if not b[j]:
-                    break
-                if sum(len(x.split()) for x in b[i : j + 1]) >= least:
-                    mine[i, j] = tuple(b[i : j + 1])
-        runs[g] = sorted({n for (i, j), run in mine.items() if run in seen for n in range(i, j + 1)})
-        seen |= set(mine.values())
-        drop = set()
-        for a in texts[:g]:
-            common = set(a) & set(b) - {""}
-            for block in L.blocks(L.patience([(n, x) for n, x in enumerate(a) if x in common], [(n, x) for n, x in enumerate(b) if x in common])):
-                if sum(len(b[n].split()) for n in block) >= least:
-                    drop |= set(block)
-        aligned[g] = drop
-    return runs, aligned
-
-
-def test_all_shared_runs_against_every_pair(spark):
-    """A short line first held elsewhere cuts no run; what alignment of any overlapping pair deletes goes."""
+def test_all_pairs_of_overlapping_documents(spark):
+    """Short lines first held elsewhere and white lines cut no block; repeated lines and other orders go too."""
     rng = random.Random(4)
-    rows = [(0, "ok\nyes sir"), (1, "a b c\nok\nd e f\n\nyes sir\nend"), (2, "own line\na b c\nok\nd e f\n\nyes sir\nend")]
+    block = "a b c\nok\nd e f\n\nyes sir\nend"
+    rows = [(0, "ok\nyes sir"), (1, block), (2, f"own line\n{block}")]
     rows += [(3 + i, "\n".join(rng.choice(["", "ok", "yes sir", "end", *(f"l{k} w" for k in range(6)), f"own {i}"]) for _ in range(rng.randint(1, 14)))) for i in range(60)]
     rows += [(100 + i, rows[i][1]) for i in range(0, 60, 3)]
-    got = {r.doc_id: r.deleted for r in L.repeats(make(spark, rows)).collect()}
-    runs, aligned = every_run(rows)
-    assert got == {rows[g][0]: d for g, d in runs.items()}
-    assert all(set(got[rows[g][0]]) >= d for g, d in aligned.items()) and got[2] == [1, 2, 3]
-    assert {r.doc_id: r.text for r in L.clean(make(spark, rows)).collect()}[2] == "own line\n\nyes sir\nend"
+    lines = [f"line {k} of five words" for k in range(40)]
+    rows += [(200, "\n".join(lines)), (201, "\n".join(lines[::-1])), (202, "\n".join([lines[3]] * 500 + lines[20:]))]
+    rows += [(300, "x1\nx2\nx3"), (301, "b1 b2\nb3 b4\nb5 b6"), (302, "x1\nb1 b2\nb3 b4\n \nb5 b6")]
+    rows += [(303, "one two three\n\nfour five six"), (304, "one two three\n\nfour five six")]
+    got = {r.doc_id: r.deleted for r in L.deletions(make(spark, rows)).collect()}
+    want = {rows[g][0]: d for g, d in brute(rows).items()}
+    assert got == want and got[2] == [1, 2, 3, 5, 6] and got[302] == [1, 2, 4] and got[304] == [0, 2]
+    assert {r.doc_id: r.text for r in L.clean(make(spark, rows)).collect()}[2] == "own line\n"
+
+
+def test_one_holder_of_many_in_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(L, "GROUP_LINES", 20)
+    text = "\n".join(f"license line {k} says this" for k in range(7))
+    rows = [(i, f"own {i}\n{text}\nmore {i}") for i in range(200)]
+    got = {r.doc_id: r.deleted for r in L.deletions(make(spark, rows)).collect()}
+    assert got == {i: list(range(1, 8)) if i else [] for i in range(200)}
+
+
+def test_repeated_lines_take_linear_time():
+    line = [7] * 30_000
+    later = {"lines": list(range(30_000)), "hashes": line, "places": list(range(30_000)), "words": [5] * 30_000, "keys": [1] * 30_000, "begins": list(range(30_000)), "ends": list(range(30_000))}
+    assert L.shared_lines({"hashes": [7], "windows": {1: range(1)}}, later, 5) == list(range(30_000))
+
+
+def test_names_of_the_input_stay(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", 5, 6, 7), (2, "a b c d e f\nx", 8, 9, 10)], "doc_id long, text string, _key long, _m long, _row_hash long")
+    assert {tuple(r) for r in L.clean(rows).collect()} == {(1, "a b c d e f", 5, 6, 7), (2, "x", 8, 9, 10)}
