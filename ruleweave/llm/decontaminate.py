@@ -21,17 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import Shared
-from .common import keep_rows, slices
+from .common import in_tasks, keep_rows, slices
 from .near_dedup import mix
 
-#: Items handled in one pass over the documents; more items take more passes.
-BLOCK_ITEMS = 5_000
+#: Items, and words of items, that are handled in one pass over the documents; more take more passes. An
+#: index of so many is some 10 MB for each of the two.
+BLOCK_ITEMS, BLOCK_WORDS = 5_000, 1_000_000
 #: 1 - edits / words of the item that counts as a leak.
 SIMILARITY = 0.8
-#: Repetitions, sampled steps of each, and places of an item where walks start (shares of its length).
-#: Recall of items with a fifth of their words edited at random is over 0.99 (tests measure it).
-REPEATS, SAMPLES, STARTS = 24, 3, (0.0, 0.3, 0.6)
+#: Walks of each item, sampled steps of each, and most steps of one (a step is half a word). Walks start
+#: at three places of an item, of longer ones every PLACE_WORDS words: edits are a fifth of the words at
+#: most, so some stretch of any length has no larger share, and there the walks are as likely to agree as
+#: in a short item. Recall with a fifth of the words edited is over 0.99, for all kinds of edits (tests).
+REPEATS, SAMPLES, MOST_STEPS, PLACE_WORDS = 72, 3, 63, 50
 SEED = 5
+#: Words of candidate regions that are looked at together, about.
+CONFIRM_WORDS = 2_000_000
 
 _SPACES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -52,7 +57,7 @@ class _Group:
     starts: list[tuple[int, int]]  # least and most place of each start
     steps: np.ndarray  # [repetition, sample]: sampled steps, rising
     prefixes: list[list[list[np.ndarray]]]  # [start][repetition][sample]: sorted keys so far
-    owners: list[list[dict[int, list[tuple[int, int]]]]]  # [start][repetition]: last key -> (item, place)
+    owners: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]  # [start][repetition]: last keys, sorted, and their items and places
 
 
 class Index:
@@ -64,11 +69,9 @@ class Index:
         self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int64) for _, ws in items]
         self.allowed = [int((1 - similarity) * len(x) + 1e-9) for x in self.items]
         size = len(self.vocabulary) + 1
-        longest = max((len(x) for x in self.items), default=0)
-        # Random bits of (repetition, step, word): 64 steps a number.
-        base = np.arange(size, dtype=np.uint64)
-        blocks = 2 * longest // 64 + 1
-        self.bits = np.stack([np.stack([mix(base * np.uint64(0x632BE59BD9B4E019) + mix(np.uint64([SEED + 1000 * r + b]))) for b in range(blocks)]) for r in range(repeats)]) if size > 1 else np.zeros((repeats, blocks, 1), np.uint64)
+        # Random bits of (repetition, word), one for each step.
+        base = np.arange(size, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
+        self.bits = [mix(base + mix(np.uint64([SEED + r]))) for r in range(repeats)]
         self.members = np.unique(np.concatenate([i * np.int64(size) + x for i, x in enumerate(self.items)])) if self.items else np.zeros(0, np.int64)
         self.size, self.repeats = size, repeats
         by_length = defaultdict(list)
@@ -81,29 +84,31 @@ class Index:
         sizes = [len(self.items[i]) for i in members]
         least, most = min(sizes), max(sizes)
         samples = min(SAMPLES, least)
-        reach = max(samples, int(least * 0.4 * 1.5))  # steps: about 3 / 4 of them words
+        reach = min(MOST_STEPS, max(samples, int(least * 0.6)))
+        places = max(3, -(-least // PLACE_WORDS))
+        shares = (0.0, 0.3, 0.6) if places == 3 else np.linspace(0, 1 - MOST_STEPS / 2 / least, places)
+        repeats = max(1, -(-self.repeats // places))
         rng = np.random.default_rng([SEED, least, most])
         edges = np.linspace(0, reach, samples + 1).astype(int)
-        steps = np.stack([rng.integers(a, max(b, a + 1), self.repeats) for a, b in zip(edges, edges[1:])], axis=1)
+        steps = np.stack([rng.integers(a, max(b, a + 1), repeats) for a, b in zip(edges, edges[1:])], axis=1)
         pad = np.zeros(2 * most + 2, np.int64)
         flat = np.concatenate([part for i in members for part in (self.items[i], pad)])
         offset = dict(zip(members, np.cumsum([0, *(len(self.items[i]) + len(pad) for i in members)])))
         known = np.zeros(self.size, bool)
         known[np.concatenate([self.items[i] for i in members])] = True
         spans, prefixes, owners = [], [], []
-        for share in STARTS:
-            places = [(i, int(share * len(self.items[i]))) for i in members]
-            at = np.array([offset[i] + t for i, t in places])
-            spans.append((min(t for _, t in places), max(t for _, t in places)))
+        item = np.array(members)
+        for share in shares:
+            place = np.array([int(share * len(self.items[i])) for i in members])
+            at = np.array([offset[i] for i in members]) + place
+            spans.append((int(place.min()), int(place.max())))
             prefixes.append([])
             owners.append([])
-            for r in range(self.repeats):
+            for r in range(repeats):
                 keys = self.walk(flat, at, r, steps[r])
                 prefixes[-1].append([np.unique(k) for k in keys])
-                owner: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                for key, place in zip(keys[-1].tolist(), places):
-                    owner[key].append(place)
-                owners[-1].append(dict(owner))
+                order = np.argsort(keys[-1], kind="stable")
+                owners[-1].append((keys[-1][order], item[order], place[order]))
         window = min(len(self.items[i]) - self.allowed[i] for i in members)
         return _Group(most, window, max(self.allowed[i] for i in members), known, spans, steps, prefixes, owners)
 
@@ -123,11 +128,11 @@ class Index:
                     if not len(at):
                         return at, key
                 sample += 1
-            pointer = pointer + ((bits[j >> 6][word] >> np.uint64(j & 63)) & np.uint64(1)).astype(np.int64)
+            pointer = pointer + ((bits[word] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
         return (at, key) if prefixes is not None else keys
 
-    def search(self, docs: list[list[bytes]]) -> list[tuple[int, int, int, int, int]]:
-        """(document, item, first word, end word, edits) of the best match of each leaked item."""
+    def search(self, docs: list[list[bytes]]) -> list[tuple[int, int, int, int, int, float]]:
+        """(document, item, first word, end word, edits, similarity) of the best match of each leaked item."""
         if not self.groups:
             return []
         gap = np.zeros(2 * max(g.most for g in self.groups) + 2, np.int64)
@@ -140,26 +145,31 @@ class Index:
         x = np.concatenate(parts)
         begin = np.array(begins)
         end = begin + [len(ws) for ws in docs]
-        found: set[tuple[int, int]] = set()
+        items, starts = [], []
         for g in self.groups:
             foreign = np.cumsum(~g.known[x], dtype=np.int32)
             good = np.flatnonzero(foreign[g.window - 1 :] - foreign[: len(foreign) - g.window + 1] <= g.edits - 1 + g.known[x[: len(foreign) - g.window + 1]])
             if not len(good):
                 continue
             for start, (low, high) in enumerate(g.starts):
-                at = np.unique(good[:, None] + np.arange(low - g.edits, high + 1))
-                at = at[(at >= 0) & (at < total)]
-                for r in range(self.repeats):
+                near = np.zeros(total + 1, np.int32)  # places from `low` to `high` after a good one, give or take edits
+                np.add.at(near, np.clip(good + low - g.edits, 0, total), 1)
+                np.add.at(near, np.clip(good + high + 1, 0, total), -1)
+                at = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+                for r, (keys, item, place) in enumerate(g.owners[start]):
                     left, key = self.walk(x, at, r, g.steps[r], g.prefixes[start][r])
-                    for p, k in zip(left.tolist(), key.tolist()):
-                        found.update((item, p - t) for item, t in g.owners[start][r][k])
-        return self._confirm(x, begin, end, found)
-
-    def _confirm(self, x, begin, end, found):
-        if not found:
+                    if len(left):
+                        first = np.searchsorted(keys, key, "left")
+                        n = np.searchsorted(keys, key, "right") - first
+                        hit = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                        items.append(item[hit])
+                        starts.append(np.repeat(left, n) - place[hit])
+        if not items:
             return []
-        pairs = np.array(sorted(found))
-        item, start = pairs[:, 0], pairs[:, 1]
+        pairs = np.unique(np.column_stack([np.concatenate(items), np.concatenate(starts)]), axis=0)
+        return self._confirm(x, begin, end, pairs[:, 0], pairs[:, 1])
+
+    def _confirm(self, x, begin, end, item, start):
         size = np.array([len(i) for i in self.items])[item]
         slack = np.array(self.allowed)[item]
         doc = np.searchsorted(begin, np.maximum(start + size // 2, 0), "right") - 1
@@ -170,14 +180,15 @@ class Index:
         last = np.concatenate([first[1:], [len(new)]]) - 1
         item, doc, size, slack, low, high = item[first], doc[first], size[first], slack[first], low[first], high[last]
         # Words of the region that the item has at all: fewer than it needs rules a candidate out.
-        width = int((high - low).max(initial=0))
         shared = np.zeros(len(first), np.int64)
-        for k in range(width):
-            at = low + k
-            ok = at < high
-            code = item * np.int64(self.size) + x[np.minimum(at, len(x) - 1)]
+        width = np.maximum(high - low, 0)
+        part = np.cumsum(width) // CONFIRM_WORDS
+        for some in np.split(np.arange(len(first)), np.flatnonzero(np.diff(part)) + 1):
+            own = np.repeat(some, width[some])
+            at = np.arange(len(own)) - np.repeat(np.cumsum(width[some]) - width[some], width[some]) + low[own]
+            code = item[own] * np.int64(self.size) + x[at]
             known = self.members[np.minimum(np.searchsorted(self.members, code), len(self.members) - 1)] == code
-            shared += ok & known
+            shared[some] = np.bincount(own[known] - some[0], minlength=len(some))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for i in np.flatnonzero(shared >= size - slack):
             near = best_match(self.items[item[i]], x[low[i] : high[i]])
@@ -186,27 +197,21 @@ class Index:
                 base = int(low[i] - begin[doc[i]])
                 value = (near[0], base + near[1], base + near[2])
                 best[key] = min(best.get(key, value), value)
-        return [(d, self.ids[i], a, b, e) for (d, i), (e, a, b) in sorted(best.items())]
+        return [(d, self.ids[i], a, b, e, 1 - e / len(self.items[i])) for (d, i), (e, a, b) in sorted(best.items())]
 
 
 def best_match(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
-    """(edits, first, end): the part of region with the least edit distance to item, the first such."""
-    cost, origin = np.zeros(len(region) + 1, np.int64), np.arange(len(region) + 1)
-    cost, origin = cost.tolist(), origin.tolist()
-    text = region.tolist()
-    for n, w in enumerate(item.tolist(), 1):
-        row, source = [n], [0]
-        for j, t in enumerate(text):
-            c, o = cost[j] + (t != w or t == 0), origin[j]
-            if cost[j + 1] + 1 < c:
-                c, o = cost[j + 1] + 1, origin[j + 1]
-            if row[j] + 1 < c:
-                c, o = row[j] + 1, source[j]
-            row.append(c)
-            source.append(o)
-        cost, origin = row, source
-    end = min(range(len(cost)), key=lambda j: (cost[j], j))
-    return cost[end], origin[end], end
+    """(edits, first, end): the part of region with the least edit distance to item; of these, the one with
+    the least end, and from the least first word."""
+    edit = np.int64(1 << 32)  # a cell holds edits * `edit` + the place where its part begins
+    row = np.arange(len(region) + 1, dtype=np.int64)
+    along = row * edit
+    for w in item:
+        new = row + edit
+        new[1:] = np.minimum(new[1:], row[:-1] + np.where((region != w) | (region == 0), edit, np.int64(0)))
+        row = np.minimum.accumulate(new - along) + along
+    end = int(np.argmin(row >> 32))
+    return int(row[end] >> 32), int(row[end] & (edit - 1)), end
 
 
 def _search(shared):
@@ -215,9 +220,8 @@ def _search(shared):
         for batch in slices(batches, "text"):
             hits = index.search([words_of(t) for t in batch["text"].to_pylist()])
             if hits:
-                doc, item, first, last, edits = zip(*hits)
+                doc, item, first, last, edits, similar = zip(*hits)
                 rows = batch.select(["doc_id", "row_hash"]).take(pa.array(doc))
-                similar = [1 - e / index.lengths[i] for e, i in zip(edits, item)]
                 yield pa.RecordBatch.from_arrays(
                     [rows["doc_id"], rows["row_hash"], pa.array(item, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(edits, pa.int64()), pa.array(similar, pa.float64())],
                     ["doc_id", "row_hash", "item_id", "first_word", "end_word", "edits", "similarity"],
@@ -233,28 +237,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     times the item's words; the best run is given, once per row and item. Items without words, and null,
     empty and white texts, match nothing; repeated rows and items match each for itself. Either table
     empty gives no rows. Only doc_id, text and item_id, text are read. Items are searched in blocks of
-    BLOCK_ITEMS, so what is broadcast has a bound.
+    BLOCK_ITEMS or BLOCK_WORDS, each a pass over the documents, so that one pass's index has a bound; an
+    item of more words is a block of its own.
     """
     spark = docs.sparkSession
     schema = "doc_id long, row_hash long, item_id long, first_word long, end_word long, edits long, similarity double"
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
-    out = None
-    block: list[tuple[int, list[bytes]]] = []
+    out, block, words = None, [], 0
 
     def search(block):
-        index = Index(block, similarity, repeats)
-        index.lengths = {i: len(x) for i, x in zip(index.ids, index.items)}
-        return source.mapInArrow(_search(Shared(spark.sparkContext, index)), schema)
+        found = in_tasks(source, _search(Shared(spark.sparkContext, Index(block, similarity, repeats))), schema)
+        return found if out is None else out.unionByName(found)
 
     for row in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator():
-        if ws := words_of(row["text"]):
+        ws = words_of(row["text"])
+        if block and (len(block) == BLOCK_ITEMS or words + len(ws) > BLOCK_WORDS):
+            out, block, words = search(block), [], 0
+        if ws:
             block.append((row["item_id"], ws))
-        if len(block) == BLOCK_ITEMS:
-            out = search(block) if out is None else out.unionByName(search(block))
-            block = []
-    if block or out is None:
-        out = search(block) if out is None else out.unionByName(search(block))
-    return out
+            words += len(ws)
+    return search(block) if block or out is None else out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

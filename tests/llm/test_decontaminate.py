@@ -100,3 +100,44 @@ def test_walk_reads_close_sequences_alike():
             ka, kb = (index.walk(x, np.array([0]), 0, steps) for x in (a, b))
             agree[edits].append(np.mean([p[0] == q[0] for p, q in zip(ka, kb)]))
     assert np.mean(agree[0]) == 1 and np.mean(agree[1]) > np.mean(agree[20]) + 0.2
+
+
+@pytest.mark.parametrize("size", [80, 200, 500, 1500])
+@pytest.mark.parametrize("kind", ["delete", "insert", "replace", "mixed"])
+def test_recall_of_long_items(size, kind):
+    """A fifth of the words edited, all in one way or another."""
+    rng = random.Random(size)
+    pool = [f"w{i}".encode() for i in range(5000)]
+    items = [(i, rng.choices(pool, k=size + rng.randrange(9))) for i in range(12)]
+    index = D.Index(items, 0.8, D.REPEATS)
+    docs = []
+    for i, ws in items:
+        out = list(ws)
+        for n in range(int(0.2 * len(ws) + 1e-9)):
+            how = kind if kind != "mixed" else ("delete", "insert", "replace")[n % 3]
+            at = rng.randrange(len(out))
+            out[at : at + (how != "insert")] = [] if how == "delete" else [rng.choice(pool)]
+        docs.append(rng.choices(pool, k=50) + out + rng.choices(pool, k=50))
+    found = {(d, i) for d, i, *_ in index.search(docs)}
+    assert found == {(i, i) for i, _ in items}
+
+
+def test_items_of_one_id_and_other_lengths():
+    rng = random.Random(3)
+    short, long = ([f"{c}{i}".encode() for i in range(n)] for c, n in (("a", 10), ("b", 40)))
+    index = D.Index([(1, short), (1, long)], 0.8, D.REPEATS)
+    docs = [short[:4] + [b"zzz"] + short[5:], long[:20] + [b"zzz"] + long[21:]]
+    assert [(d, e, round(s, 3)) for d, _, _, _, e, s in index.search(docs)] == [(0, 1, 0.9), (1, 1, 0.975)]
+
+
+def test_large_items_and_texts_take_little():
+    rng = random.Random(8)
+    pool = [f"w{i}".encode() for i in range(20000)]
+    items = [(0, rng.choices(pool, k=5000)), *((i, rng.choices(pool, k=30)) for i in range(1, 300))]
+    index = D.Index(items, 0.8, D.REPEATS)
+    assert sum(b.nbytes for b in index.bits) < 20e6
+    text = rng.choices(pool, k=600_000)
+    text[300_000:305_000] = [w for w in items[0][1] if rng.random() > 0.1]
+    text[100:130] = items[7][1]
+    assert {i for _, i, *_ in index.search([text])} == {0, 7}
+    assert D.best_match(np.arange(1, 5001), np.arange(500, 7000))[:1] == (499,)
