@@ -1,8 +1,10 @@
 """One deterministic automaton for many regular expressions, over bytes.
 
 Supported: literals, escapes, classes of ASCII characters, groups, |, ?, *, +, {m}, {m,}, {m,n} and
-(?i:...). Rules are parsed to an NFA, joined by subset construction with an implied "any prefix",
-and minimised; the result is transition arrays over byte classes.
+(?i:...). Rules are parsed to an NFA, joined by subset construction and minimised; the result is
+transition arrays over byte classes. A scanning automaton has an implied "any prefix" and tells where
+matches end; that of the reversed pattern, run backwards, tells where they begin; an anchored one, run
+from there, how far the longest goes.
 """
 
 from __future__ import annotations
@@ -154,6 +156,17 @@ class _Parser:
         self.i += 1
         return out
 
+    def reversed(self) -> _Parser:
+        out = _Parser()
+        for _ in self.edges:
+            out.state()
+        for s, (edges, empty) in enumerate(zip(self.edges, self.empty)):
+            for chars, t in edges:
+                out.edges[t].append((chars, s))
+            for t in empty:
+                out.empty[t].append(s)
+        return out
+
     def leaf(self, chars: set[int]):
         if self.fold:
             chars = chars | {x ^ 32 for x in chars if 65 <= x & ~32 <= 90}
@@ -173,14 +186,18 @@ class Automaton:
     accepts: np.ndarray
 
 
-def build(patterns: list[str]) -> Automaton:
+def build(patterns: list[str], anchored: bool = False, backwards: bool = False) -> Automaton:
+    """anchored: a match begins at the first byte. backwards: for texts read from their end."""
     nfa = _Parser()
     ends: dict[int, int] = {}
     starts = []
     for i, p in enumerate(patterns):
         a, b = nfa.rule(p)
+        a, b = (b, a) if backwards else (a, b)
         starts.append(a)
         ends[b] = ends.get(b, 0) | 1 << i
+    if backwards:
+        nfa = nfa.reversed()
 
     reach: dict[int, frozenset[int]] = {}
 
@@ -208,7 +225,7 @@ def build(patterns: list[str]) -> Automaton:
         now = todo.pop(0)
         row = []
         for b in sample:
-            to = set(first)
+            to = set() if anchored else set(first)
             for s in now:
                 for chars, t in nfa.edges[s]:
                     if b in chars:
@@ -265,11 +282,59 @@ def pieces(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, length:
     return np.unique(np.concatenate([offsets, after, [0, len(data)]]))
 
 
+class Reader:
+    """An automaton as lists, for reading few bytes one by one."""
+
+    def __init__(self, auto: Automaton) -> None:
+        self.klass = auto.klass.astype(np.uint8).tobytes()
+        self.rows = auto.step.reshape(-1, auto.width).tolist()
+        self.accepts = auto.accepts.tolist()
+        self.dead = next((i for i, row in enumerate(self.rows) if not self.accepts[i] and set(row) == {i}), -1)
+
+    def longest(self, text: bytes, at: int, stop: int) -> int:
+        """End of the longest match that begins at `at`, anchored; -1 if none does."""
+        state, end = 0, at if self.accepts[0] else -1
+        for i in range(at, stop):
+            state = self.rows[state][self.klass[text[i]]]
+            if state == self.dead:
+                break
+            if self.accepts[state]:
+                end = i + 1
+        return end
+
+    def places(self, text: bytes) -> list[int]:
+        """Places where matches end, or begin if this automaton is for reading backwards and text is reversed."""
+        state, out, rows, accepts = 0, [], self.rows, self.accepts
+        for i, c in enumerate(text.translate(self.klass), 1):
+            state = rows[state][c]
+            if accepts[state]:
+                out.append(i)
+        return out
+
+    def rules(self, text: bytes) -> int:
+        """A bit for each rule that has a match."""
+        state, found, rows, accepts = 0, self.accepts[0], self.rows, self.accepts
+        for c in text.translate(self.klass):
+            state = rows[state][c]
+            if accepts[state]:
+                found |= accepts[state]
+        return found
+
+
+#: Pieces of more bytes are read one by one.
+LONG = 4096
+
+
 def scan(data: np.ndarray, cuts: np.ndarray, auto: Automaton) -> np.ndarray:
     """A bit for each rule that has a match in a piece: all pieces move on together, one byte a step."""
     hits = np.zeros(len(cuts) - 1, np.uint32)
     size = np.diff(cuts)
-    order = np.argsort(-size, kind="stable")
+    reader = None
+    for i in np.flatnonzero(size > LONG):
+        reader = reader or Reader(auto)
+        hits[i] = reader.rules(data[cuts[i] : cuts[i + 1]].tobytes())
+    short = np.flatnonzero(size <= LONG)
+    order = short[np.argsort(-size[short], kind="stable")]
     at, size = cuts[:-1][order], size[order]
     live = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")  # pieces longer than t
     symbol = auto.klass[data]

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +14,12 @@ from ruleweave.llm.common import utf8
 from .conftest import EDGES, make
 
 RULES = S.BASE + S.ADDED
+COMPILED = S.compile_rules(RULES)
 
 
 def brute(text, rules=RULES):
-    return sorted((m.start(), k, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, text, re.ASCII) if m.end(r.group) - m.start(r.group) >= r.least)
+    found = [(k, m) for k, r in enumerate(rules) for m in re.finditer(f"(?P<head>{r.prefix})(?P<tail>{r.body})", text, re.ASCII)]
+    return sorted((m.start(), k, m.end()) for k, m in found if len(m["tail"]) >= rules[k].least)
 
 
 PARTS = ["token", "Secret", "PASSWORD", "passwd", "api_key", "apikey", "=", ":", " ", "  ", '"', "'", "abcdef", "abc", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeef", "\n", "é", "漢", ",", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "ghp_", "x" * 36, "xoxb-", "eyJab", ".", "AIza", "ſ", "K"]
@@ -57,3 +60,34 @@ def test_automaton_against_python(pattern):
 
 def test_minimised():
     assert len(automaton.build(["abd|acd"]).accepts) == len(automaton.build(["a[bc]d"]).accepts) == 4
+
+
+def test_contract_patterns_are_the_rules():
+    assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choices(PARTS, k=rng.randint(0, 30)))
+        want = [(m.start(), m.end()) for m in re.finditer(f"(?i:{assign})", text, re.ASCII) if len(m[2]) >= 6]
+        assert [(a, b) for a, k, b in S.find(*utf8(pa.array([text])), RULES, COMPILED)[0] if k == 0] == want
+
+
+@pytest.mark.parametrize("text", ["a" * 3_000_000, "0123456789" * 200_000, "token=" * 200_000, "token=abc, " * 100_000, "é token=abcdef1 " * 100_000, "eyJab." * 300_000])
+def test_long_texts_take_linear_time(text):
+    began = time.time()
+    found = S.find(*utf8(pa.array([text])), RULES, COMPILED)[0]
+    assert time.time() - began < 30
+    assert found == brute(text)
+
+
+@pytest.mark.parametrize("pattern", ["abc", "a|bc", "(ab)*c", "[a-c]+d?", "a{2,3}b", "x(y|z)+w"])
+def test_reversed_and_anchored(pattern):
+    rng = random.Random(2)
+    begin, whole, compiled = (automaton.Reader(automaton.build([pattern], **how)) for how in ({"backwards": True}, {"anchored": True}, {}))
+    for _ in range(300):
+        text = "".join(rng.choices("abcdxyzw", k=rng.randint(0, 10)))
+        match = [re.compile(pattern).match(text, i) for i in range(len(text))]
+        assert sorted(len(text) - i for i in begin.places(text.encode()[::-1])) == [i for i, m in enumerate(match) if m]
+        for i, m in enumerate(match):
+            longest = max((j for j in range(i, len(text) + 1) if re.compile(pattern).fullmatch(text, i, j)), default=-1)
+            assert whole.longest(text.encode(), i, len(text)) == longest and bool(m) == (longest >= 0)
+        assert bool(compiled.rules(text.encode())) == bool(re.search(pattern, text))
