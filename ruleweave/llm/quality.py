@@ -54,8 +54,9 @@ def _counts(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> np.ndarray:
     """Log ratio of target to raw probability for each bucket. The raw model counts all documents;
-    the target model those of at most `most` ids labelled with quality 1. Without any, all are 0."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    the target model those of at most `most` ids labelled with quality 1, and never otherwise. Without any,
+    all are 0."""
+    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     marked = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("target", F.lit(True))), "doc_id", "left")  # at most `most` ids
     counted = in_tasks(marked.select("text", F.coalesce("target", F.lit(False)).alias("target")), _counts, "bucket long, raw long, target long")
     counts = np.zeros((2, BUCKETS))
@@ -103,7 +104,12 @@ def top_rows(scored: DataFrame, key: str, k: int) -> DataFrame:
     while True:
         inside = (F.col(key) >= low) & (F.col(key) <= high)
         step = (high - low) / 4096
-        if step <= 0 or low + step == low:
+        if step <= 0 or low + step == low:  # a few thousand different keys at most are left
+            for r in scored.where(inside).groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc(key)).toLocalIterator():
+                low = high = r[key]
+                if above + r["n"] >= k:
+                    break
+                above += r["n"]
             break
         number = F.least(F.floor((F.col(key) - low) / step), F.lit(4095))
         bins = scored.where(inside).groupBy(number.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect()  # at most 4096 rows

@@ -70,7 +70,8 @@ def flows(want: dict[tuple[int, int], int], held: list[int], quota: int) -> dict
 
 
 def propagate(members: DataFrame, shards: int, quota: int) -> DataFrame:
-    """uid, label, group, size of linked rows (uid, group, label at first), moved to the shards of their groups.
+    """uid, label, group, size of linked rows (uid, key, group, label at first), moved to the shards of their
+    groups. key: a hash of the row.
 
     A group larger than `quota` is led to as many shards as it needs. Rounds keep to the quota, and end
     when one gains nothing; then the rest moves whatever the quota. Groups are counted by shard before
@@ -85,9 +86,9 @@ def propagate(members: DataFrame, shards: int, quota: int) -> DataFrame:
         hubs = here.groupBy("group").agg(order.alias("o")).join(sizes, "group")
         led = F.slice("o", F.lit(1), F.ceil(F.col("size") / quota).cast("int"))
         hubs = materialize(hubs.select("group", "size", F.transform(led, lambda x: x["label"]).alias("led")), "hubs")
-        choice = F.get("led", F.pmod(F.xxhash64("uid"), F.size("led")).cast("int"))
+        choice = F.get("led", F.pmod(F.xxhash64("key"), F.size("led")).cast("int"))
         want = F.when(F.array_contains("led", F.col("label")), F.col("label")).otherwise(choice)
-        wants = materialize(state.join(hubs, "group").select("uid", "group", "size", "label", want.alias("want")), "wants")
+        wants = materialize(state.join(hubs, "group").select("uid", "key", "group", "size", "label", want.alias("want")), "wants")
         flow = {(r["label"], r["want"]): r["n"] for r in wants.groupBy("label", "want").agg(F.count(F.lit(1)).alias("n")).collect()}  # shards x shards
         held = [sum(n for (a, _), n in flow.items() if a == s) for s in range(shards)]
         asked = sum(n for (a, b), n in flow.items() if a != b)
@@ -99,8 +100,8 @@ def propagate(members: DataFrame, shards: int, quota: int) -> DataFrame:
         for (a, b), n in moves.items():
             share = F.when((F.col("label") == a) & (F.col("want") == b), n / flow[a, b]).otherwise(share)
         # A group's members that leave one shard for another go together, but for groups that fill shards.
-        unit = F.when(F.col("size") > quota // 8, _unit("uid", F.lit(before))).otherwise(_unit("group", F.lit(before)))
-        state = wants.select("uid", "group", F.when(unit < share, F.col("want")).otherwise(F.col("label")).alias("label"))
+        unit = F.when(F.col("size") > quota // 8, _unit("key", F.lit(before))).otherwise(_unit("group", F.lit(before)))
+        state = wants.select("uid", "key", "group", F.when(unit < share, F.col("want")).otherwise(F.col("label")).alias("label"))
 
 
 def balanced_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -108,22 +109,24 @@ def balanced_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     Rows with equal texts (null counts as empty) are linked. Law `rows`: the shards' counts of rows
     differ by one at most; slots count from 0 in each shard without gaps. Repeated rows, and rows with
-    null ids, are placed each for itself. An empty table gives no rows. Only doc_id and text are read.
+    null ids, are placed each for itself. An empty table gives no rows. Only doc_id and text are read, and
+    they alone decide: the order of rows and the files that they come in change nothing.
     """
     text = F.coalesce("text", F.lit(""))
     source = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("sha"))
-    base = materialize(source.withColumn("uid", F.monotonically_increasing_id()), "base")
+    # uid tells rows apart; key, which hangs on id and text alone, decides where they go.
+    base = materialize(source.withColumn("uid", F.monotonically_increasing_id()).withColumn("key", F.xxhash64("doc_id", "sha")), "base")
     total = base.count()
     quota = max(1, total // shards)
-    start = F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "uid"), F.lit(shards)).cast("int")
+    start = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shards)).cast("int")
 
-    groups = base.groupBy("sha").agg(F.min("uid").alias("group"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = materialize(groups.select("sha", "group"), "groups")
-    members = materialize(base.join(groups, "sha").select("uid", "group", start.alias("label")), "members")
+    groups = base.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = materialize(groups.select("sha", F.xxhash64("sha").alias("group")), "groups")
+    members = materialize(base.join(groups, "sha").select("uid", "key", "group", start.alias("label")), "members")
     labels = materialize(propagate(members, shards, quota), "labels") if not members.isEmpty() else members.select("uid", "label", "group", F.lit(0).cast("long").alias("size"))
 
     labels = labels.withColumnRenamed("size", "alike")
-    rows = base.join(labels, "uid", "left").select("uid", "doc_id", "size", "text_crc32", F.coalesce("label", start).alias("label"), "group", "alike")
+    rows = base.join(labels, "uid", "left").select("uid", "key", "doc_id", "size", "text_crc32", F.coalesce("label", start).alias("label"), "group", "alike")
     placed = materialize(rows, "placed")
     count = [0] * shards
     for r in placed.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a shard
@@ -136,10 +139,10 @@ def balanced_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     large = F.col("alike") > LARGE
     kind = F.lit(63) - F.floor(F.log2("alike"))
     place = F.pmod(F.xxhash64("group"), F.when(large, 1 << 20).otherwise(wide))
-    part = F.when(large, F.pmod(F.xxhash64("uid"), F.ceil(F.col("alike") / LARGE))).otherwise(0)
-    alone = F.lit(64 << 40) + F.pmod(F.xxhash64("uid"), F.lit(wide))
+    part = F.when(large, F.pmod(F.xxhash64("key"), F.ceil(F.col("alike") / LARGE))).otherwise(0)
+    alone = F.lit(64 << 40) + F.pmod(F.xxhash64("key"), F.lit(wide))
     bucket = F.when(F.col("group").isNull(), alone).otherwise(F.shiftleft(kind.cast("long"), 40) + F.shiftleft(place.cast("long"), 18) + part)
-    order = ranked(placed, ["label"], bucket, [F.col("group"), F.col("uid")], "rank")
+    order = ranked(placed, ["label"], bucket, [F.col("group"), F.col("key"), F.col("uid")], "rank")
     over = [max(0, c - t) for c, t in zip(count, target)]
     lack = [max(0, t - c) for c, t in zip(count, target)]
     before = [sum(over[:s]) for s in range(shards)]

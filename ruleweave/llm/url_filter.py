@@ -2,7 +2,7 @@
 
 A rule is (host, path, verdict). It fits its host and all subdomains when the URL's path starts with
 the rule's path. The longest rule wins: the one with more host labels, then the longer path; of the
-same host and path given twice, block wins.
+same host and path given twice, block wins, else the last.
 """
 
 from __future__ import annotations
@@ -11,21 +11,28 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..shipping import Shared
+from .common import in_tasks, materialize
 
-#: Rule sets up to so many rules are broadcast as a trie; larger ones are joined by prefix.
-MAX_TRIE_RULES = 200_000
+#: Rules of one trie; more rules are judged in several passes, so that one trie of bounded size is
+#: broadcast at a time. The longest rule of all passes wins.
+TRIE_RULES = 200_000
 TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @dataclass(slots=True)
 class PathNode:
-    """Below a host: whole segments lead on; `ends` are last segments that may be cut short."""
+    """Below a host: whole segments lead on; `ends` are last segments that may be cut short, and `sizes`
+    their different lengths, largest first."""
 
     children: dict[str, PathNode] = field(default_factory=dict)
     ends: dict[str, tuple[str, str]] = field(default_factory=dict)
+    sizes: tuple[int, ...] = ()
+
+    def end(self, segment: str) -> str | None:
+        """The longest end that the segment begins with."""
+        return next((segment[:n] for n in self.sizes if n <= len(segment) and segment[:n] in self.ends), None)
 
 
 @dataclass(slots=True)
@@ -47,6 +54,8 @@ def build_trie(rules: list[tuple[str, str, str]]) -> HostNode:
             at = at.children.setdefault(segment, PathNode())
         if at.ends.get(last, ("", ""))[1] != "block":
             at.ends[last] = (host + path, verdict)
+            if len(last) not in at.sizes:
+                at.sizes = tuple(sorted({*at.sizes, len(last)}, reverse=True))
     return root
 
 
@@ -60,8 +69,8 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(TO_LOWER), slash + path
 
 
-def lookup(root: HostNode, host: str, path: str) -> tuple[str, str] | None:
-    """(rule, verdict) of the longest rule that fits."""
+def lookup(root: HostNode, host: str, path: str) -> tuple[int, int, str, str] | None:
+    """(host labels, length of the path, rule, verdict) of the longest rule that fits."""
     chain, node = [root], root
     for label in reversed(host.split(".")) if host else ():
         node = node.children.get(label)
@@ -69,20 +78,17 @@ def lookup(root: HostNode, host: str, path: str) -> tuple[str, str] | None:
             break
         chain.append(node)
     segments = path.split("/")
-    for node in reversed(chain):
-        if node.path is None:
-            continue
-        found, at = None, node.path
-        for i, segment in enumerate(segments):
-            # A last rule segment may stop inside this one.
-            fits = [e for e in at.ends if segment.startswith(e)]
-            if fits:
-                found = at.ends[max(fits, key=len)]
-            at = at.children.get(segment) if i + 1 < len(segments) else None
+    for depth in range(len(chain) - 1, -1, -1):
+        found, size, at, before = None, 0, chain[depth].path, 0
+        for segment in segments:
             if at is None:
                 break
+            if (end := at.end(segment)) is not None:  # a last rule segment may stop inside this one
+                found, size = at.ends[end], before + len(end)
+            at = at.children.get(segment)
+            before += len(segment) + 1
         if found:
-            return found
+            return depth, size, *found
     return None
 
 
@@ -94,40 +100,31 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
     none. Only key and url are read.
     """
     rules = [(h.translate(TO_LOWER), p, v) for h, p, v in rules]
-    if len(rules) > MAX_TRIE_RULES:
-        return _judge_by_join(pages, rules, default, key)
-    shared = Shared(pages.sparkSession.sparkContext, build_trie(rules))
-
-    def run(batches):
-        root = shared.value
-        for batch in batches:
-            parts = [split_url(u) for u in batch["url"].to_pylist()]
-            found = [lookup(root, h, p) or (None, default) for h, p in parts]
-            cols = [pa.array([x[i] for x in rows], pa.string()) for rows in (parts, found) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch[key], *cols], [key, "host", "path", "rule", "verdict"])
-
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, "url").mapInArrow(run, f"{key} {kind}, host string, path string, rule string, verdict string")
-
-
-def _judge_by_join(pages: DataFrame, rules: list[tuple[str, str, str]], default: str, key: str) -> DataFrame:
-    """The same for rule sets too large to broadcast: every host suffix and path prefix of a URL is
-    looked up in a table of rules; only distinct (host, path) pairs are looked up, so a hot host is
-    met once."""
-    spark = pages.sparkSession
-    table = spark.createDataFrame([(h, p, h + p, v) for h, p, v in rules], "r_host string, r_path string, rule string, verdict string")
-    table = table.groupBy("r_host", "r_path").agg(F.max(F.struct("verdict", "rule")).alias("r")).select("r_host", "r_path", "r.rule", "r.verdict")
-    rest = F.regexp_extract("url", r"(?s)^.*?://([^?#]*)", 1)
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    host = F.coalesce(F.translate(F.regexp_extract(rest, r"(?s)^([^/]*)", 1), upper, lower), F.lit(""))
-    path = F.coalesce(F.regexp_extract(rest, r"(?s)^[^/]*(.*)$", 1), F.lit(""))
-    urls = pages.select(key, host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    hosts = F.array_union(suffixes, F.array(F.lit("")))
-    prefixes = F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.substring(F.col("path"), F.lit(1), i))
-    seen = urls.select("host", "path").distinct()
-    asked = seen.withColumn("r_host", F.explode(hosts)).withColumn("r_path", F.explode(prefixes))
-    depth = F.when(F.col("r_host") == "", 0).otherwise(F.size(F.split("r_host", r"\.")))
-    best = asked.join(table, ["r_host", "r_path"]).groupBy("host", "path").agg(F.max(F.struct(depth.alias("d"), F.length("r_path").alias("l"), "rule", "verdict")).alias("b"))
-    return urls.join(best, ["host", "path"], "left").select(key, "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
+    names = [key, "host", "path", "rule", "verdict", "depth", "size"]
+    schema = f"{key} {kind}, host string, path string, rule string, verdict string, depth int, size int"
+
+    def run_with(shared, first: bool):
+        def run(batches):
+            root = shared.value
+            for batch in batches:
+                if first:
+                    places, best = [split_url(u) for u in batch["url"].to_pylist()], [(-1, -1, None, default)] * batch.num_rows
+                else:
+                    places = list(zip(batch["host"].to_pylist(), batch["path"].to_pylist()))
+                    best = list(zip(*(batch[c].to_pylist() for c in ("depth", "size", "rule", "verdict"))))
+                for i, place in enumerate(places):
+                    found = lookup(root, *place)
+                    if found and (found[:2] > best[i][:2] or found[:2] == best[i][:2] and best[i][3] != "block"):
+                        best[i] = found
+                cols = [*zip(*places), *([x[k] for x in best] for k in (2, 3))] if places else [()] * 4
+                sizes = [pa.array([x[k] for x in best], pa.int32()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch[key], *(pa.array(c, pa.string()) for c in cols), *sizes], names)
+
+        return run
+
+    out = None
+    for i in range(0, max(1, len(rules)), TRIE_RULES):
+        shared = Shared(pages.sparkSession.sparkContext, build_trie(rules[i : i + TRIE_RULES]))
+        out = in_tasks(pages.select(key, "url") if out is None else materialize(out, "judged"), run_with(shared, out is None), schema)
+    return out.select(*names[:5])

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ruleweave.llm import quality as Q
@@ -43,10 +44,10 @@ def test_weights_are_log_ratios(spark):
 
 
 @pytest.mark.parametrize("k", [0, 1, 7, 500, 999, 1000, 2000])
-@pytest.mark.parametrize("how", ["spread", "ties", "one", "mixed"])
+@pytest.mark.parametrize("how", ["spread", "ties", "one", "mixed", "close"])
 def test_top_rows_are_exact(spark, k, how, monkeypatch):
     monkeypatch.setattr(Q, "LAST_ROWS", 10)
-    key = {"spread": F.rand(3) * 1e6 - F.pow(F.lit(10.0), F.col("id") % 9), "ties": (F.col("id") % 3).cast("double"), "one": F.lit(2.5), "mixed": F.when(F.col("id") % 2 == 0, 1.0).otherwise(F.rand(4))}[how]
+    key = {"spread": F.rand(3) * 1e6 - F.pow(F.lit(10.0), F.col("id") % 9), "ties": (F.col("id") % 3).cast("double"), "one": F.lit(2.5), "mixed": F.when(F.col("id") % 2 == 0, 1.0).otherwise(F.rand(4)), "close": 1.0 + (F.col("id") % 5) * 2.0**-52}[how]
     scored = materialize(spark.range(1000).select(F.col("id").alias("uid"), key.alias("x")), "x")
     out = Q.top_rows(scored, "x", k).toPandas()
     assert len(out) == 1000 and out.kept.sum() == min(k, 1000)
@@ -70,3 +71,31 @@ def test_edges(spark, edges, empty):
     assert out.count() == len(EDGES) and out.where("kept").count() == 7
     assert Q.resample(empty, labels).count() == 0
     assert Q.resample(edges, labels.limit(0)).where("kept").count() == len(EDGES)
+
+
+def test_resample_against_brute_force(spark):
+    """Models, weights, noise and the k largest keys, all worked out apart."""
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(words[: 150 if i % 3 else 300], rng.integers(0, 60)))) for i in range(500)]
+    quality = [(i, int(i % 3 > 0)) for i in range(0, 400)] + [(3, 1), (None, 1)]
+    docs, labels = make(spark, rows), spark.createDataFrame(quality, "doc_id long, quality int")
+    out = Q.resample(docs, labels).toPandas().set_index("doc_id")
+    good = {i for i, q in quality if q and i is not None} - {i for i, q in quality if not q}
+    raw, target, found = np.zeros(Q.BUCKETS), np.zeros(Q.BUCKETS), {}
+    for i, text in rows:
+        h = [xxhash.xxh64_intdigest(w.lower()) for w in text.split()]
+        pairs = [int(Q.mix(Q.mix(np.uint64([a])) + np.uint64([b]))[0]) for a, b in zip(h, h[1:])]
+        found[i] = [x % Q.BUCKETS for x in h + pairs]
+        np.add.at(raw, found[i], 1)
+        np.add.at(target, found[i], i in good)
+    raw_share = (raw + 0.5) / (raw + 0.5).sum()
+    ratio = np.log((target + Q.SHRINK * raw_share) / (target.sum() + Q.SHRINK) / raw_share)
+    weight = np.array([ratio[found[i]].sum() for i, _ in rows])
+    assert np.allclose(out.log_weight[[i for i, _ in rows]], weight)
+    hashed = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(Q.SEED), "doc_id", F.xxhash64("text")).alias("h")).collect()}
+    unit = np.array([((hashed[i] % (1 << 64)) >> 11) + 0.5 for i, _ in rows]) / 2.0**53
+    keys = weight - np.log(-np.log(unit))
+    p = np.mean([q for _, q in quality])
+    k = int(np.ceil(min(1, p + 3 * np.sqrt(p * (1 - p) / len(quality))) * len(rows)))
+    assert set(out.index[out.kept]) == {rows[j][0] for j in np.argsort(-keys)[:k]}

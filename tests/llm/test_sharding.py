@@ -73,3 +73,28 @@ def test_swaps_and_cycles_need_no_room():
     assert flows({(0, 1): 5, (1, 0): 3, (1, 1): 2}, [5, 5], 5) == {(0, 1): 3, (1, 0): 3}
     assert flows({(0, 1): 4, (1, 2): 4, (2, 0): 2}, [5, 5, 5], 5) == {(0, 1): 2, (1, 2): 2, (2, 0): 2}
     assert flows({(0, 1): 4, (1, 2): 4}, [5, 5, 4], 5) == {(0, 1): 1, (1, 2): 1}
+
+
+def test_files_and_order_change_nothing(spark):
+    rng = random.Random(6)
+    rows = [(i, f"copy {i // 3}" if i % 2 else f"text {i}") for i in range(1500)]
+    seen = []
+    for n in (3, 7):
+        rng.shuffle(rows)
+        seen.append({(r.doc_id, r.shard, r.slot) for r in balanced_shards(make(spark, rows).repartition(n)).collect()})
+    assert seen[0] == seen[1]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cut_edges_against_the_best_and_chance(spark, seed):
+    """Edges join the rows of a group one after another. Groups fit into shards here, so the best cuts none."""
+    rng = random.Random(seed)
+    rows, groups = [], 0
+    while len(rows) < 1600:
+        rows += [(len(rows) + k, f"group {groups}") for k in range(rng.choice([1, 1, 2, 3, 5, 8, 40]))]
+        groups += 1
+    shard = {r.doc_id: r.shard for r in checked(make(spark, rows), rows)}
+    edges = [(a[0], b[0]) for a, b in zip(rows, rows[1:]) if a[1] == b[1]]
+    cut = sum(shard[a] != shard[b] for a, b in edges)
+    by_chance = 7 / 8 * len(edges)
+    assert cut <= 0.03 * by_chance
