@@ -95,6 +95,6 @@ def fold(df: DataFrame, positions: Positions, bits: int, which: str) -> np.ndarr
     for by in [["segment", "part"], ["segment"]][parts == 1 :]:
         merged = merged.groupBy(*by).applyInArrow(_merge(bits), SCHEMA)
     out, size = np.zeros(bits >> 3, np.uint8), min(SEGMENT, bits >> 3)
-    for row in merged.select("segment", which).toLocalIterator():  # MAX_BITS in all
+    for row in merged.select("segment", which).collect():  # MAX_BITS in all
         out[row["segment"] * size :][:size] = unpacked(row[which], size)
     return out

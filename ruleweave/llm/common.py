@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,7 +75,6 @@ def in_tasks(df: DataFrame, run: Callable, schema: str) -> DataFrame:
 
     def task(batches):
         yield from run(batches)
-        gc.collect()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # not every libc has it
             ctypes.CDLL("libc.so.6").malloc_trim(0)

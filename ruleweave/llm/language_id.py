@@ -90,7 +90,7 @@ def fit(labelled: DataFrame, key: str, text: str = "text", lang: str = "lang", m
     sample = near.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("_n") <= quota)
     counted = in_tasks(sample.select("text", "lang"), _count(languages), "lang int, bucket int, n long")
     counts = np.full((len(languages), BUCKETS), SMOOTH)
-    for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # at most languages x buckets
+    for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():  # at most languages x buckets
         counts[r["lang"], r["bucket"]] += r["n"]
     share = (1 - FOREIGN) * counts / counts.sum(axis=1, keepdims=True) + FOREIGN / BUCKETS
     return Model(languages, np.log(share).astype(np.float32))

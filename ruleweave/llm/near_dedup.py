@@ -4,12 +4,14 @@ Documents with the same shingle set form a class; classes are the nodes. A sketc
 the least hash of its share of the hash range; an empty bin takes the value of a bin that a hash of
 its number picks. BANDS bands of equal bins give buckets. A bucket proposes a star: one hub against
 all other members, so pairs grow with members, not with their square. Proposed pairs are confirmed on
-full shingle sets. A star can miss a link between two members that are not the hub's. So members of
-buckets that are still in several components meet again, in finer buckets that two bands make together:
-a pair at similarity 0.8 shares some 80 of these, each of which picks a hub of its own and proposes a
-star between components. Rounds of this, with new hubs, go on until one links nothing. Every round
-proposes at most as many pairs as there are memberships; no bucket, pair or partner is dropped for its
-size. Sets too small to reach the similarity with any other set are classes only.
+full shingle sets, at first with the hub alone that a member shares most buckets with, which links most.
+Then the stars of buckets that are still in several components follow, as far as they go between these.
+A star can miss a link between two members that are not the hub's. So members of such buckets also meet
+in finer buckets that two bands make together: a pair at similarity 0.8 shares some 30 of these, each of
+which picks a hub of its own and proposes a star between components. Rounds of this, with new hubs, go
+on in a bucket until one links nothing there. Every round proposes at most as many pairs as there are
+memberships; no bucket, pair or partner is dropped for its size. Sets too small to reach the similarity
+with any other set are classes only.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from . import bloom
 from .common import forget, in_tasks, keep_rows, materialize, partition, slices, texts
 from .components import components, extended
 
-#: 32 bands of 4 bins: a pair at similarity 0.8 shares none with probability 5e-8.
-BINS, BANDS = 128, 32
-#: Pairs of sets of at least BINS shingles whose sketches agree in a smaller share of bins are dropped
-#: unconfirmed: at similarity 0.8 that is five standard deviations off. Smaller sets are always confirmed.
-LEAST_AGREEMENT = 0.62
+#: 25 bands of 5 bins (three bins are in none): a pair at similarity 0.8 shares none with probability 5e-5.
+BINS, BANDS, BAND_BINS = 128, 25, 5
+#: Pairs whose sketches agree in a share of bins that is so many standard deviations below what the
+#: similarity gives are dropped unconfirmed. Copied bins don't count; small sets are as good as all confirmed.
+DEVIATIONS = 5
 #: Shingles that one group of star pairs is confirmed with, about.
 GROUP_SHINGLES = 2_000_000
 
@@ -100,7 +102,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
-    rows = values.reshape(len(values), BANDS, BINS // BANDS)
+    rows = values[:, : BANDS * BAND_BINS].reshape(len(values), BANDS, BAND_BINS)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:2]).copy()
     for i in range(rows.shape[2]):
         key = mix(key) + rows[:, :, i]
@@ -149,7 +151,9 @@ def _likely(percent: int):
             na, nb = b["na"].to_numpy(), b["nb"].to_numpy()
             low = np.minimum(na, nb)
             ok = 100 * low >= percent * np.maximum(na, nb)
-            ok &= ((_signs(b["sa"]) == _signs(b["sb"])).mean(axis=1) >= LEAST_AGREEMENT) | (low < BINS)
+            filled = BINS * (1 - (1 - 1 / BINS) ** low)
+            least = percent / 100 - DEVIATIONS * np.sqrt(percent / 100 * (1 - percent / 100) / filled)
+            ok &= (_signs(b["sa"]) == _signs(b["sb"])).mean(axis=1) >= least
             yield b.select(["a", "b", "host", "na", "nb"]).filter(pa.array(ok))
 
     return run
@@ -197,35 +201,30 @@ class _Links:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> None:
         self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
-        self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None  # node, component of all that is linked so far
+        self.new: DataFrame | None = None  # links of the last round
 
-    def star(self, members: DataFrame) -> bool:
-        """Propose (hub, member) for members (cid, hub); true if there are new links."""
-        pairs = members.where("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"), "hub")
-        pairs = pairs.groupBy("a", "b").agg(F.min("hub").alias("host"))
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        self.tested = pairs.select("a", "b") if self.tested is None else self.tested.unionByName(pairs.select("a", "b"))
+    def star(self, proposed: DataFrame) -> bool:
+        """Confirm pairs of members and hubs (cid, hub, with no duplicates); true if there are new links."""
+        pairs = proposed.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"), F.col("hub").alias("host"))
         sides = [self.classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}")) for c in "ab"]
         likely = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "host", "na", "sa", "nb", "sb")
         likely = materialize(in_tasks(likely, _likely(self.percent), "a long, b long, host long, na long, nb long"), "likely")
-        if likely.isEmpty():
+        shingles = likely.agg(F.sum(F.col("na") + F.col("nb"))).first()[0]
+        if not shingles:
             return False
-        found = materialize(self.confirm(likely), "links")
+        self.new = found = materialize(self.confirm(likely, -(-shingles // GROUP_SHINGLES)), "links")
         forget(likely)
         gained = not found.isEmpty()
         if gained:
             self.labels = components(found) if self.labels is None else extended(self.labels, found)
         return gained
 
-    def confirm(self, likely: DataFrame) -> DataFrame:
-        """The pairs that full sets confirm. Pairs with one host meet in one group, or in several if their
-        sets are many, so a set is sent once to a group and not once for each pair."""
-        parts = likely.groupBy("host").agg(F.ceil(F.sum(F.col("na") + F.col("nb")) / GROUP_SHINGLES).alias("parts"))
+    def confirm(self, likely: DataFrame, parts: int) -> DataFrame:
+        """The pairs that full sets confirm. Pairs of one host meet in one group of `parts` at most, so a set
+        is sent once to a group and not once for each pair, and no group holds much more than its share."""
         other = F.when(F.col("a") == F.col("host"), F.col("b")).otherwise(F.col("a"))
-        dealt = likely.join(materialize(parts, "parts"), "host").select("a", "b", "host", F.pmod(F.xxhash64(other), F.col("parts")).alias("part"))
+        dealt = likely.select("a", "b", "host", F.pmod(F.xxhash64(other), F.lit(parts)).alias("part"))
         needed = dealt.select(F.col("host").alias("h"), F.col("part").alias("p"), F.explode(F.array("a", "b")).alias("cid")).distinct()
         return dealt.groupBy("host", "part").cogroup(self.sets_of(needed).groupBy("h", "p")).applyInArrow(_confirm(self.percent), "a long, b long")
 
@@ -244,24 +243,23 @@ class _Links:
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """cid, component and buckets (at most BANDS) of members whose buckets are in several components."""
+    """Members (bucket, cid, hub, size) of buckets in several components, with their component."""
     known = labels.withColumnRenamed("node", "cid")
-    placed = materialize(members.join(known, "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("component")), "placed")
-    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    found = placed.join(materialize(split, "split"), "bucket").groupBy("cid", "component").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
-    found = materialize(found, "open")
+    placed = materialize(members.join(known, "cid", "left").select("bucket", "cid", "hub", "size", F.coalesce("component", "cid").alias("component")), "placed")
+    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "cid").alias("home")).where("low < high").select("bucket", "home")
+    found = materialize(placed.join(split, "bucket"), "open")
     forget(placed)
     return found
 
 
 def _finer(still: DataFrame, salt: int) -> DataFrame:
     """cid, hub of stars between components, in buckets that two bands make together."""
+    buckets = F.sort_array(F.collect_set("bucket"))  # at most BANDS
     later = lambda b, i: F.transform(F.slice("buckets", i + 2, BANDS), lambda c: F.xxhash64(b, c))
-    fine = still.select("cid", "component", F.explode(F.flatten(F.transform("buckets", later))).alias("fine"))
+    fine = still.where("size > 2").groupBy("cid", "component").agg(buckets.alias("buckets")).select("cid", "component", F.explode(F.flatten(F.transform("buckets", later))).alias("fine"))
     order = F.xxhash64("cid", "fine", F.lit(salt))
     hubs = fine.groupBy("fine").agg(F.min_by("cid", order).alias("hub"), F.min_by("component", order).alias("home"), F.min("component").alias("low"), F.max("component").alias("high"))
-    hubs = materialize(hubs.where("low < high").select("fine", "hub", "home"), "hubs")
-    return fine.join(hubs, "fine").where("component <> home").select("cid", "hub")
+    return fine.join(hubs.where("low < high").select("fine", "hub", "home"), "fine").where("component <> home").select("cid", "hub")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -288,24 +286,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     chosen = members.select("cid").distinct().join(classes, "cid").select(F.col("best").alias("uid"))
     partnered = found.join(chosen, "uid", "left_semi").select("cid", "n", "sign", "doc_id", "row_hash")
     links = _Links(docs, materialize(partnered, "partnered"), width, percent)
-    larger, salt = members.where("size > 2").select("bucket", "cid"), 0
-    gained = links.star(members.select("cid", "hub"))
-    while gained:
-        still = _open(larger, links.labels)
-        gained = not still.isEmpty() and links.star(_finer(still, salt))
+    shared = members.where("cid <> hub").groupBy("cid", "hub").agg(F.count(F.lit(1)).alias("k"))
+    nearest = materialize(shared.groupBy("cid").agg(F.max_by("hub", "k").alias("hub")), "nearest")
+    gained, salt, active = links.star(nearest), 0, members
+    while gained or not salt:
+        # Without any link so far, every member is a component of its own.
+        labels = links.labels if links.labels is not None else nearest.select(F.col("cid").alias("node"), F.col("cid").alias("component"))
+        still = _open(active, labels)
+        proposed = _finer(still, salt)
+        if not salt:
+            stars = still.where("component <> home").select("cid", "hub")
+            proposed = proposed.unionByName(stars).join(nearest, ["cid", "hub"], "left_anti")
+        gained = links.star(proposed.distinct())
+        if gained:
+            linked = links.new.select(F.explode(F.array("a", "b")).alias("cid"))
+            active = still.where("size > 2").select("bucket", "cid", "hub", "size")
+            active = active.join(active.join(linked, "cid", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
         salt += 1
-    forget(members)
+    forget(members, nearest)
 
     if links.labels is None:
         classed = classes.select("mark", F.col("least").alias("component_id"), "best")
     else:
         joined = links.labels.withColumnRenamed("node", "cid")
-        together = materialize(classes.join(joined, "cid").select("mark", "component", "least", "best"), "together")
+        together = classes.join(joined, "cid").select("mark", "component", "least", "best")
         lowest = together.groupBy("component").agg(F.min("least").alias("lowest"), F.min_by("best", F.coalesce("least", F.lit(_LAST))).alias("first"))
-        better = together.join(materialize(lowest, "lowest"), "component").select("mark", "lowest", "first")
+        better = together.join(lowest, "component").select("mark", "lowest", "first")
         classed = classes.join(better, "mark", "left").select("mark", F.when(F.col("first").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("component_id"), F.coalesce("first", "best").alias("best"))
         classed = materialize(classed, "classed")
-        forget(classes, together)
+        forget(classes)
     rows = found.select("doc_id", "row_hash", "uid", "n", "mark")
     linked = rows.where("n > 0").join(classed, "mark").select("doc_id", "row_hash", "uid", "n", "component_id", "best")
     alone = rows.where("n = 0").select("doc_id", "row_hash", "uid", "n", F.col("doc_id").alias("component_id"), F.col("uid").alias("best"))

@@ -60,7 +60,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> np.ndar
     marked = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("target", F.lit(True))), "doc_id", "left")  # at most `most` ids
     counted = in_tasks(marked.select("text", F.coalesce("target", F.lit(False)).alias("target")), _counts, "bucket long, raw long, target long")
     counts = np.zeros((2, BUCKETS))
-    for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toLocalIterator():  # at most BUCKETS rows
+    for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # at most BUCKETS rows
         counts[:, r["bucket"]] += r["raw"], r["target"]
     if not counts[1].any():
         return np.zeros(BUCKETS)
@@ -105,7 +105,7 @@ def top_rows(scored: DataFrame, key: str, k: int) -> DataFrame:
         inside = (F.col(key) >= low) & (F.col(key) <= high)
         step = (high - low) / 4096
         if step <= 0 or low + step == low:  # a few thousand different keys at most are left
-            for r in scored.where(inside).groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc(key)).toLocalIterator():
+            for r in scored.where(inside).groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc(key)).collect():
                 low = high = r[key]
                 if above + r["n"] >= k:
                     break
