@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .cleaners import white_split, white_strip
+
 
 def _trim(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
@@ -35,10 +37,10 @@ def windows(size: int, step: int) -> Callable[[Column], Column]:
     """Windows of `size` words, a new one every `step` words."""
 
     def chunk(text: Column) -> Column:
-        words = F.split(_trim(text), r"(?U)\s+", -1)
-        n = F.size(words)
-        groups = F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))
-        return F.when(_trim(text) == "", F.array(text)).otherwise(groups)
+        joined = lambda words: F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(step)), lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))
+        # The words are bound by a transform, as an expression inside a lambda is worked out anew each time.
+        groups = F.get(F.transform(F.array(F.split(_trim(text), r"(?U)\s+", -1)), joined), F.lit(0))
+        return F.when(F.regexp_like(text, F.lit(r"(?U)^\s*\z")), F.array(text)).otherwise(groups)
 
     return chunk
 
@@ -72,8 +74,8 @@ def chunk_text(name: str, text: str) -> list[str]:
         parts = text.split("\n\n")
     elif name in ("word_chunking", "fixed_size_chunking"):
         size, step = (100, 100) if name == "word_chunking" else (512, 462)
-        words = text.split()
+        words = white_split(text)
         return [" ".join(words[i : i + size]) for i in range(0, len(words), step)] or [text]
     else:
         return [text]
-    return [x for p in parts if (x := p.strip())] or [text]
+    return [x for p in parts if (x := white_strip(p))] or [text]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -42,6 +43,18 @@ CLEANERS = {f.__name__: f for f in (default_cleaning, no_op, aggressive_cleaning
 
 # The same in Python, for one text.
 
+#: White space as columns see it. str.split also splits at U+001C to U+001F.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WORDS, _ENDS = re.compile(f"[^{_WHITE}]+"), re.compile(f"^[{_WHITE}]+|[{_WHITE}]+\\Z")
+
+
+def white_split(text: str) -> list[str]:
+    return _WORDS.findall(text)
+
+
+def white_strip(text: str) -> str:
+    return _ENDS.sub("", text)
+
 
 def clean_text(name: str, text: str) -> str:
     if name == "no_op":
@@ -51,4 +64,4 @@ def clean_text(name: str, text: str) -> str:
         import regex
 
         text = regex.sub(r"[^\p{Alphabetic}\p{White_Space}]|\p{N}", " ", text)
-    return " ".join(text.lower().split())
+    return " ".join(white_split(text.lower()))

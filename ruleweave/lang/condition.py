@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from ..errors import ConditionSyntaxError
@@ -111,18 +111,20 @@ class _Reader:
         return found
 
     def either(self) -> Node:
-        node = self.both()
-        while self.peek() == "or":
-            self.take()
-            node = Either(node, self.both())
-        return node
+        return self.chain("or", Either, self.both)
 
     def both(self) -> Node:
-        node = self.negated()
-        while self.peek() == "and":
+        return self.chain("and", Both, self.negated)
+
+    def chain(self, word: str, join: type[Node], part: Callable[[], Node]) -> Node:
+        """Parts joined by a word, as a balanced tree: its depth grows with the logarithm of their number."""
+        nodes = [part()]
+        while self.peek() == word:
             self.take()
-            node = Both(node, self.negated())
-        return node
+            nodes.append(part())
+        while len(nodes) > 1:
+            nodes = [join(*pair) if len(pair) > 1 else pair[0] for pair in (nodes[i : i + 2] for i in range(0, len(nodes), 2))]
+        return nodes[0]
 
     def negated(self) -> Node:
         if self.peek() == "not":
@@ -197,11 +199,14 @@ class _Reader:
 def parse(text: str) -> Node:
     """The syntax tree of a condition; errors name what is wrong."""
     reader = _Reader(text)
-    node = reader.either()
-    if reader.peek():
-        raise ConditionSyntaxError(f"unexpected {reader.peek()!r} after the condition")
-    if kind(node) is not bool:
-        raise ConditionSyntaxError("type error: a condition must be boolean")
+    try:
+        node = reader.either()
+        if reader.peek():
+            raise ConditionSyntaxError(f"unexpected {reader.peek()!r} after the condition")
+        if kind(node) is not bool:
+            raise ConditionSyntaxError("type error: a condition must be boolean")
+    except RecursionError:
+        raise ConditionSyntaxError("the condition is nested too deeply") from None
     return node
 
 

@@ -6,9 +6,11 @@ and `ask` take lists, so that a backend can batch.
 
 from __future__ import annotations
 
+import http.client
 import json
 import os
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
@@ -116,11 +118,43 @@ class FunctionChat:
 # -- HTTP -----------------------------------------------------------------------------------
 
 
-def post_json(url: str, body: dict, headers: Mapping[str, str], timeout: float) -> dict:
-    """POST and read JSON; statuses other than 2xx raise OSError."""
-    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
-    with urllib.request.urlopen(request, timeout=timeout) as response:
-        return json.load(response)
+#: Fixed: seconds to wait for a connection.
+CONNECT_TIMEOUT = 10.0
+#: Open connections of this process, by scheme and host.
+_CONNECTIONS = Cache()
+
+
+def post_json(url: str, body: dict, headers: Mapping[str, str], timeout: float, connect: float = CONNECT_TIMEOUT) -> dict:
+    """POST and read JSON, over a connection that is kept; statuses other than 2xx raise OSError."""
+    parts = urllib.parse.urlsplit(url)
+    headers = {"Content-Type": "application/json", **headers}
+    if parts.scheme in urllib.request.getproxies() and not urllib.request.proxy_bypass(parts.netloc):
+        with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), headers), timeout=timeout) as response:
+            return json.load(response)
+    where = parts.scheme, parts.netloc
+    path = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    while True:
+        kept = _CONNECTIONS.pop(where, None)
+        line = kept or {"http": http.client.HTTPConnection, "https": http.client.HTTPSConnection}[parts.scheme](parts.netloc, timeout=min(connect, timeout))
+        try:
+            if not kept:
+                line.connect()
+            line.sock.settimeout(timeout)
+            line.request("POST", path, json.dumps(body).encode(), headers)
+            response = line.getresponse()
+            data = response.read()
+        except (http.client.HTTPException, OSError) as e:
+            line.close()
+            if kept and isinstance(e, (http.client.RemoteDisconnected, http.client.CannotSendRequest, ConnectionError)):
+                continue  # the other side has closed it since
+            raise e if isinstance(e, OSError) else OSError(f"{type(e).__name__}: {e}") from None
+        if response.will_close:
+            line.close()
+        else:
+            _CONNECTIONS[where] = line
+        if not 200 <= response.status < 300:
+            raise urllib.error.HTTPError(url, response.status, response.reason, response.headers, None)
+        return json.loads(data)
 
 
 @dataclass(frozen=True)

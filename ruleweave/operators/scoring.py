@@ -1,7 +1,8 @@
 """Model-backed patterns over chunks: each yields array<struct<text, score, explanation>> and an error.
 
 Chunks of a row stay in an array, so nothing is shuffled; a batch is scored at once, each distinct chunk
-once. An error costs the row's hits of that pattern and is reported, not raised.
+once, and what a task has scored in former batches is not scored again. An error costs the row's hits of
+that pattern and is reported, not raised.
 """
 
 from __future__ import annotations
@@ -11,26 +12,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_of
+from ..shipping import Cache
+
+#: Texts whose scores a task keeps.
+KEPT = 50_000
 
 RESULT = "struct<hits:array<struct<matched_text:string,score:double,explanation:string>>,error:string>"
 
 
-def _batched(answer, keep):
+def _batched(answer, keep, repeatable: bool = True):
     """A column function on array<string> chunks. answer(list of texts) gives an item for each; keep(text,
-    item) the hit or None. A row whose chunks are null is not asked about."""
+    item) the hit or None. A row whose chunks are null is not asked about. repeatable: an answer holds for
+    the same text in later batches."""
+    known = Cache()
 
     @F.pandas_udf(RESULT)
     def run(chunks: pd.Series) -> pd.DataFrame:
-        asked = list(dict.fromkeys(c for row in chunks if row is not None for c in row if c))
-        items, failed = {}, {}
+        met = list(dict.fromkeys(c for row in chunks if row is not None for c in row if c))
+        items, failed = {c: known[c] for c in met if c in known}, {}
+        asked = [c for c in met if c not in items]
         try:
-            items = dict(zip(asked, answer(asked))) if asked else {}
+            items |= dict(zip(asked, answer(asked))) if asked else {}
         except Exception:  # find the texts that fail, one by one
             for c in asked:
                 try:
                     items[c] = answer([c])[0]
                 except Exception as e:
                     failed[c] = f"{type(e).__name__}: {e}"
+        if repeatable:
+            if len(known) + len(asked) > KEPT:
+                known.clear()
+            known.update((c, items[c]) for c in asked[:KEPT] if c in items)
         out = []
         for row in chunks:
             row = [] if row is None else [c for c in row if c]
@@ -47,14 +59,19 @@ def _hit(text: str, score: float, explanation: str) -> dict:
 
 
 def similar(chunks: Column, embedder, pattern: str, threshold: float) -> Column:
-    """Chunks whose embedding has a cosine of at least threshold with the pattern's."""
+    """Chunks whose embedding has a cosine of at least threshold with the pattern's, which is embedded once
+    on the driver (or by the tasks, if that fails)."""
+    if not pattern:
+        return nothing()
+    try:
+        own = embedder.embed([pattern])[0]
+    except Exception:  # tasks report what is wrong
+        own = None
 
     def answer(texts):
-        first, *rest = embedder.embed([pattern, *texts])
+        first, *rest = embedder.embed([pattern, *texts]) if own is None else [own, *embedder.embed(texts)]
         return [cosine_of(first, v) for v in rest]
 
-    if not pattern:
-        return nothing()
     return _batched(answer, lambda t, s: _hit(t, s, f"Semantic similarity: {s:.3f}") if s >= threshold else None)(chunks)
 
 
@@ -67,7 +84,7 @@ def classified(chunks: Column, classifier, pattern: str, threshold: float) -> Co
 
 def asked(chunks: Column, chat, pattern: str) -> Column:
     """Chunks that the language model says yes to."""
-    return _batched(lambda texts: chat.ask(pattern, texts), lambda t, a: _hit(t, 1.0, a[1]) if a[0] else None)(chunks)
+    return _batched(lambda texts: chat.ask(pattern, texts), lambda t, a: _hit(t, 1.0, a[1]) if a[0] else None, not getattr(chat, "temperature", 0))(chunks)
 
 
 def nothing(error: str | None = None) -> Column:

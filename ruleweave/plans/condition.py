@@ -96,7 +96,7 @@ class _Decided:
     """Pairs (surely true, surely false), by three-valued logic."""
 
     def __init__(self, has, count, declared, pending) -> None:
-        self.known = _Lowering(has, count, declared, any(isinstance(n, C.Number) and n.value > SAFE for n in C.parts(C.Number(0))))
+        self.known = _Lowering(has, count, declared, False)  # set anew for each comparison
         self.declared, self.pending = declared, pending
 
     def one(self, i: str) -> tuple[Column, Column]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -132,16 +133,27 @@ def details(p: StringPattern, text: Column) -> Column:
     for s in searches(p):
         if _native(s) and not s.stripped:
             found = F.regexp_extract_all(text, F.lit(s.compiled.java), F.lit(0))
-            sizes = F.transform(found, F.octet_length)
-            gaps = F.transform(F.split(text, s.compiled.java, -1), F.octet_length)
-            whole = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0).cast("bigint"), lambda x, y: x + y)
-            hits = F.transform(found, lambda h, i: _hit(p, h, (start := whole(gaps, i + 1) + whole(sizes, i)), start + F.octet_length(h)))  # noqa: B023
+            hits = bound(F.struct(found.alias("hits"), F.split(text, s.compiled.java, -1).alias("gaps")), lambda both: _placed(p, both["hits"], both["gaps"]))  # noqa: B023
         else:
             hits = F.transform(_udf(s, True)(text), lambda h: _hit(p, h["matched_text"], h["start_pos"], h["end_pos"]))
         parts.append(hits)
     return F.coalesce(parts[0] if len(parts) == 1 else F.concat(*parts), empty_details())
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where a value that body uses several times is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _placed(p: StringPattern, hits: Column, gaps: Column) -> Column:
+    """Details of hits, from what stands before each of them, in one pass."""
+    nothing = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.octet_length(g).alias("gap"), F.octet_length(h).alias("hit")))
+    add = lambda done, x: F.struct((done["at"] + x["gap"] + x["hit"]).alias("at"), F.array_append(done["starts"], done["at"] + x["gap"]).alias("starts"))
+    starts = F.aggregate(sizes, nothing, add)["starts"]
+    return F.zip_with(hits, starts, lambda h, start: _hit(p, h, start, start + F.octet_length(h)))
+
+
 def _hit(p: StringPattern, text: Column, start: Column, end: Column) -> Column:
     return detail(F.lit(p.identifier), text, start.cast("bigint"), end.cast("bigint"), F.lit(1.0), F.lit(""))
 

@@ -14,7 +14,7 @@ from .functions.hashing import video_hash
 from .functions.vectors import cosine, hamming, hash_similarity, vector
 from .lang.model import StringPattern
 from .operators import reports, scoring
-from .operators.models import FunctionChat, HashingEmbedder
+from .operators.models import FunctionChat, HashingEmbedder, TableClassifier, TableEmbedder
 from .plans import strings
 from .sources.rule_files import transcripts
 
@@ -142,12 +142,13 @@ _counting("events_props_rule", counted(r'"k": 9\d', table="events", key="event_i
 
 
 @query(r"""
-SELECT doc_id, CAST(len(regexp_extract_all(text, '\bthe\b')) AS BIGINT) AS hits FROM documents WHERE lang = 'en' AND strlen(text) = length(text)
+SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[^\p{L}\p{M}\p{N}_]+'), lambda w: w = 'the')) AS BIGINT) AS the,
+  CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}_]+'), lambda w: w = 'für')) AS BIGINT) AS fuer FROM documents
 """)
 def str_fullword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On ASCII texts: DuckDB's word boundary is ASCII, the engine's is Unicode."""
-    rows = read(spark, sf_dir, "documents").where("lang = 'en' and octet_length(text) = length(text)")
-    return rows.select("doc_id", strings.count(StringPattern("$p", "the", frozenset({"fullword"})), F.col("text")).alias("hits"))
+    """Word boundaries are Unicode's: the hits of a word are the equal ones among all words."""
+    hits = lambda word, *m: strings.count(StringPattern("$p", word, frozenset({"fullword", *m})), F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", hits("the").alias("the"), hits("für", "nocase").alias("fuer"))
 
 
 @query(r"""
@@ -171,26 +172,27 @@ def str_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, CAST(strlen(split_part(text, 'License', 1)) AS BIGINT) AS start_pos, CAST(strlen(split_part(text, 'License', 1)) + 7 AS BIGINT) AS end_pos
-FROM documents WHERE contains(text, 'License')
+WITH d AS (SELECT doc_id, list_transform(string_split(text, 'the'), lambda x: strlen(x)) AS gaps FROM documents),
+h AS (SELECT doc_id, gaps, unnest(range(1, len(gaps))) AS i FROM d)
+SELECT doc_id, CAST(list_sum(gaps[1 : i]) + 3 * (i - 1) AS BIGINT) AS start_pos, CAST(list_sum(gaps[1 : i]) + 3 * i AS BIGINT) AS end_pos FROM h
 """)
 def str_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UTF-8 byte offsets of the first hit."""
-    hits = strings.details(StringPattern("$p", "License"), F.col("text"))
-    rows = docs(spark, sf_dir).where(F.contains("text", F.lit("License")))
-    return rows.select("doc_id", F.get(hits, F.lit(0)).alias("h")).select("doc_id", "h.start_pos", "h.end_pos")
+    """UTF-8 byte offsets of all hits."""
+    hits = strings.details(StringPattern("$p", "the"), F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.start_pos", "h.end_pos")
 
 
 @query("""
-SELECT doc_id, '$mit' AS identifier, CAST(strlen(split_part(text, 'Released under the MIT License', 1)) AS BIGINT) AS start_pos FROM documents WHERE contains(text, 'Released under the MIT License')
-UNION ALL
-SELECT doc_id, '$apache', CAST(strlen(split_part(text, 'Licensed under the Apache License', 1)) AS BIGINT) FROM documents WHERE contains(text, 'Licensed under the Apache License')
+WITH p AS (SELECT * FROM (VALUES ('$mit', 'Released under the MIT License'), ('$apache', 'Licensed under the Apache License')) AS t(identifier, line)),
+d AS (SELECT doc_id, identifier, line, list_transform(string_split(text, line), lambda x: strlen(x)) AS gaps FROM documents, p),
+h AS (SELECT *, unnest(range(1, len(gaps))) AS i FROM d)
+SELECT doc_id, identifier, line AS matched_text, CAST(list_sum(gaps[1 : i]) + strlen(line) * (i - 1) AS BIGINT) AS start_pos FROM h
 """)
 def match_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First details of matching rows from the full map of hits."""
+    """All hits of matching rows, from the full map of hits."""
     found = FLAGSHIP.scan(docs(spark, sf_dir), output="matched", detail=True).where("rule_name = 'licensed'")
-    entries = found.select("doc_id", F.explode("matched_patterns").alias("identifier", "hits")).where(F.size("hits") > 0)
-    return entries.select("doc_id", "identifier", F.get("hits", F.lit(0))["start_pos"].alias("start_pos"))
+    entries = found.select("doc_id", F.explode("matched_patterns").alias("identifier", "hits"))
+    return entries.select("doc_id", "identifier", F.explode("hits").alias("h")).select("doc_id", "identifier", "h.matched_text", "h.start_pos")
 
 
 # -- conditions -------------------------------------------------------------------------------
@@ -336,6 +338,63 @@ def classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where("score >= 0.5").select("doc_id", F.lit("$c").alias("identifier"), "score")
 
 
+@query(r"""
+WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x = 'Released under the MIT License.') AS hits FROM documents)
+SELECT doc_id, CAST(len(hits) AS BIGINT) AS hits, 0.75 AS score FROM s WHERE len(hits) > 0
+""")
+def classifier_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of scores by pattern and sentence, as the classifier of a rule."""
+    rules = compile_str('rule r { classifier: $c = "license" threshold=0.7 cleaner=no_op chunker=sentence_chunking classifier=table\n condition: $c }')
+    line = "Released under the MIT License."
+    rules.register_classifier("table", TableClassifier({("license", line): 0.75, ("other", line): 1.0, ("license", "No."): 0.6}))
+    hits = F.col("matched_patterns")["$c"]
+    return rules.scan(docs(spark, sf_dir), output="matched", detail=True).select("doc_id", F.size(hits).cast("bigint").alias("hits"), F.get(hits, F.lit(0))["score"].alias("score"))
+
+
+@query(r"""
+WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM documents),
+p AS (SELECT doc_id, list_filter(parts, lambda x: x IN ('Released under the MIT License.', 'Licensed under the Apache License, Version 2.')) AS hits FROM s)
+SELECT doc_id, CAST(len(hits) AS BIGINT) AS hits FROM p WHERE len(hits) > 0
+""")
+def similarity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by text, as the matcher of a rule: sentences whose vector is close to the pattern's."""
+    rules = compile_str('rule r { similarity: $s = "licenses" threshold=0.9 cleaner=no_op chunker=sentence_chunking matcher=table\n condition: $s }')
+    rules.register_semantic_matcher("table", TableEmbedder({"licenses": [1.0, 1.0], "Released under the MIT License.": [2.0, 1.5], "Licensed under the Apache License, Version 2.": [1.0, 1.2]}, 2))
+    found = rules.scan(docs(spark, sf_dir), output="matched", detail=True)
+    return found.select("doc_id", F.size(F.col("matched_patterns")["$s"]).cast("bigint").alias("hits"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, text || chr(10) || replace(regexp_replace('The License', '(.)', '\1' || chr(1), 'g'), chr(1), chr(0)) AS t FROM documents)
+SELECT doc_id, CAST(len(regexp_extract_all(t, 'License')) + 1 AS BIGINT) AS hits, len(regexp_extract_all(t, 'License')) >= 2 AS matched FROM d
+""")
+def str_wide_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modifiers as a rule spells them: `wide ascii` finds the plain hits and the one wide hit at the end."""
+    rules = compile_str('rule r { strings: $p = "License" wide ascii\n condition: #p >= 3 }')
+    text = F.concat("text", F.lit("\n"), F.lit("".join(c + "\0" for c in "The License")))
+    rows = docs(spark, sf_dir).select("doc_id", text.alias("text"))
+    p = rules.rules[0].strings[0]
+    return rules.scan(rows, output="wide").select("doc_id", strings.count(p, F.col("text")).alias("hits"), F.col("r").alias("matched"))
+
+
+@query("""
+SELECT doc_id, CAST(i AS INT) AS rule_idx, 'security' AS owner, 'v' || i AS version, contains(text, 'License') AS matched FROM documents, range(2) AS t(i)
+""")
+def rule_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rules say about themselves, on every row."""
+    rules = compile_str("".join(f'rule r{i} {{ meta: owner = "security" version="v{i}"\n strings: $l = "License"\n condition: $l }}\n' for i in range(2)))
+    return rules.scan(docs(spark, sf_dir)).select("doc_id", "rule_idx", F.col("meta")["owner"].alias("owner"), F.col("meta")["version"].alias("version"), "matched")
+
+
+@query(r"""
+SELECT doc_id, md5(trim(regexp_replace(lower(replace(replace(text, 'f', 'fi'), ' ', ' 1 ')), '\s+', ' ', 'g'))) AS digest FROM documents
+""")
+def clean_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with signs that NFKC takes apart: a ligature for each f, wide digits and spaces between words."""
+    text = F.replace(F.replace(F.col("text"), F.lit("f"), F.lit("\ufb01")), F.lit(" "), F.lit("\u3000\uff11\u00a0"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(cleaners.default_cleaning(text).cast("binary")).alias("digest"))
+
+
 @query("""
 SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 1 AND contains(d.text, 'License')
 """)
@@ -439,12 +498,11 @@ def phash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH b AS (SELECT doc_id, encode(text) AS t, strlen(text) AS n FROM documents),
 s AS (SELECT doc_id, list_transform(range(65), lambda i: ('0x' || hex(t[CAST(i * (n - 1) // 64 AS BIGINT) + 1 : CAST(i * (n - 1) // 64 AS BIGINT) + 1]))::INT) AS s FROM b WHERE n > 0)
-SELECT doc_id, array_to_string(list_transform(range(64), lambda i: CASE WHEN s[64 - i] > s[65 - i] THEN '1' ELSE '0' END), '') AS bits FROM s
+SELECT doc_id, CASE WHEN s IS NOT NULL THEN array_to_string(list_transform(range(64), lambda i: CASE WHEN s[64 - i] > s[65 - i] THEN '1' ELSE '0' END), '') END AS bits FROM documents LEFT JOIN s USING (doc_id)
 """)
 def phash_video(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The byte-sampling hash of texts as files, highest bit first."""
-    rows = docs(spark, sf_dir).where("octet_length(text) > 0")
-    found = rows.select("doc_id", scoring.hashed(F.col("text").cast("binary"), video_hash).alias("h"))
+    """The byte-sampling hash of texts as files, highest bit first; null for empty ones."""
+    found = docs(spark, sf_dir).select("doc_id", scoring.hashed(F.col("text").cast("binary"), video_hash).alias("h"))
     return found.select("doc_id", F.lpad(F.bin(F.col("h.hash")), 64, "0").alias("bits"))
 
 

@@ -116,3 +116,11 @@ def test_undecided_is_sound(spark):
         for r in df.select("a", plan.undecided(node, has, count, ["$a", "$x", "$y"], {"$x", "$y"}).alias("u")).collect():
             values = {C.evaluate(node, {"$a": r.a, "$x": x, "$y": y}) for x in (0, 1, 5) for y in (0, 1)}
             assert r.u == (len(values) > 1), text
+
+
+def test_long_chains_and_deep_nesting():
+    names = [f"$p{i}" for i in range(1200)]
+    node = C.parse(" or ".join(names) + " or " + " and ".join(names))
+    assert C.evaluate(node, dict.fromkeys(names, 0) | {"$p777": 1}) and not C.evaluate(node, dict.fromkeys(names, 0))
+    with pytest.raises(ConditionSyntaxError):
+        C.parse("(" * 5000 + "$a" + ")" * 5000)

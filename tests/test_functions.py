@@ -162,3 +162,47 @@ def test_chat_config_from_env():
     assert read({"RULEWEAVE_LLM_ENDPOINT": "http://a", "OPENAI_BASE_URL": "http://b"}).endpoint == "http://a"
     assert read({"RULEWEAVE_LLM_REASONING_EFFORT": ""}).reasoning_effort is None
     assert read({"RULEWEAVE_LLM_NO_ENV": "1", "OPENAI_MODEL": "m"}).model == "local-model"
+
+
+@pytest.mark.parametrize("name", sorted(cleaners.CLEANERS))
+def test_white_space_agrees_with_python(spark, name):
+    texts = ["a\x1cb  \x1f c", " x y\u0085", "\x1d", " 　 ", "", "one\x1e\x1etwo. three\x1c! four\n\n\x1d five"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(cleaners.CLEANERS[name](F.col("t"))).collect()]
+    assert got == [cleaners.clean_text(name, t) for t in texts]
+    for chunker, f in chunkers.CHUNKERS.items():
+        assert [r[0] for r in df.select(f(F.col("t"))).collect()] == [chunkers.chunk_text(chunker, t) for t in texts]
+
+
+def test_connections_are_kept_and_renewed():
+    import http.server
+    import threading
+
+    met = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            met.append(self.client_address)
+            self.send_response(500 if b"fail" in body else 200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+            self.close_connection = b"close" in body
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/v1/x?y=1"
+    for word in ("a", "b", "close", "c"):
+        assert models.post_json(url, {"w": word}, {}, 5) == {"w": word}
+    assert met[0] == met[1] == met[2] != met[3]
+    with pytest.raises(OSError):
+        models.post_json(url, {"w": "fail"}, {}, 5)
+    server.shutdown()
+    with pytest.raises(OSError):
+        models.post_json("http://127.0.0.1:9/none", {}, {}, 1)

@@ -95,3 +95,11 @@ def test_files(tmp_path, spark):
             compile(str(tmp_path / "none"), session)
     with pytest.raises(FileReadError):
         compile(str(tmp_path))
+
+
+def test_odd_headers_meta_and_parameters():
+    rules = parse('overrule x { } rule rule: a  b_1 { meta: a = "1" b="" c = 3 d= "x=y" strings: $s = "rule z {" condition: $s } rule no-name { } rule t : { } rule\nlast\n{ }')
+    assert [(r.name, r.tags) for r in rules] == [("rule", ["a", "b_1"]), ("last", [])]
+    assert rules[0].meta == {"a": "1", "b": "", "d": "x=y"} and rules[0].strings[0].pattern == "rule z {"
+    (p,) = parse('rule r { similarity: $s = "p" threshold=0.5 matcher="my m" cleaner = "no" chunker=word_chunking\n condition: $s }')[0].similarity
+    assert (p.threshold, p.matcher, p.chunker) == (0.5, "my m", "word_chunking") and p.cleaner != "no"
