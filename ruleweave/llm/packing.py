@@ -3,16 +3,20 @@
 How well pieces pack depends on their lengths alone, and there are at most `capacity` different
 lengths. So the search runs on the driver over a histogram of bounded size: it fills a sequence around
 the longest piece left, tries undominated fillings, prunes by a bound on waste, and repeats a filling
-while its lengths last. The plan it returns says how often each filling is used; pieces find their
-sequence by their rank among pieces of equal length, in a join and a distributed rank.
+while its lengths last. It can be stopped at any time: the best plan so far is kept, from best fit at
+first, and the search ends when that meets a lower bound, or after NODE_LIMIT steps. The plan says how
+often each filling is used; pieces find their sequence by their rank among pieces of equal length, in a
+join and a distributed rank.
 """
 
 from __future__ import annotations
 
 import bisect
 import json
+import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +27,8 @@ from .common import bucket_count, in_tasks, materialize, ranked, slices
 
 CAPACITY = 2048
 END_ID = 0
-#: Search steps in all; the incumbent found by then is used.
-NODE_LIMIT = 20_000
+#: Search steps in all, steps that list the fillings of one sequence, and fillings tried at each step.
+NODE_LIMIT, FILLING_STEPS, WIDTH = 4_000, 400, 6
 
 
 # -- tokens ---------------------------------------------------------------------------------
@@ -171,51 +175,69 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int
     return [(times, filling) for filling, times in plan.items()]
 
 
-def completions(counts: dict[int, int], largest: int, capacity: int, most: int = 6) -> list[tuple[int, ...]]:
+def _widened(sums: int, by: int) -> int:
+    """Bits n to n + by for each bit n."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        sums |= sums << step
+        done += step
+    return sums
+
+
+def dominated(chosen: tuple[int, ...], waste: int, free: int) -> bool:
+    """Whether a free piece (bits of `free`: lengths) could stand for several chosen ones that are as long
+    together, or for one or more that are shorter by the waste at most: that filling is as good at least."""
+    one = two = 0  # sums of one piece, and of two or more
+    for n in chosen:
+        two |= two << n | one << n
+        one |= 1 << n
+    longer = _widened(one << 1, waste - 1) if waste else 0
+    return bool((_widened(two, waste) | longer) & free)
+
+
+def completions(counts: dict[int, int], largest: int, capacity: int, most: int = WIDTH) -> list[tuple[int, ...]]:
     """Undominated fillings around one piece of the largest length, least waste first.
 
-    A filling is dominated by another when its pieces can be swapped, one by one, for pieces at
-    least as long without passing the capacity; so no left-out piece may fit into the waste, and
-    one long piece goes before several short ones of the same sum.
+    Fillings are listed from the longest pieces on, until there are `most` without waste or for
+    FILLING_STEPS; greedy filling and one without waste, if there is any, are looked at besides.
     """
     room = capacity - largest
     lengths = [n for n in sorted(counts, reverse=True) if n <= room and counts[n] - (n == largest) > 0]
     have = {n: counts[n] - (n == largest) for n in lengths}
-    found: list[tuple[int, tuple[int, ...]]] = []
-    budget = [400]
-
-    def extend(i: int, room: int, chosen: tuple[int, ...]) -> None:
-        if budget[0] <= 0:
-            return
-        budget[0] -= 1
-        if room == 0:
-            found.append((0, chosen))
-            return
-        while i < len(lengths) and lengths[i] > room:
+    found: dict[tuple[int, ...], int] = {}
+    steps, exact = 0, 0
+
+    def add(chosen: tuple[int, ...]) -> None:
+        nonlocal exact
+        chosen = tuple(sorted(chosen, reverse=True))
+        waste = room - sum(chosen)
+        free = sum(1 << n for n in lengths if chosen.count(n) < have[n])
+        if chosen not in found and not dominated(chosen, waste, free):
+            found[chosen] = waste
+            exact += not waste
+
+    todo: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
+    while todo and steps < FILLING_STEPS and exact < most:
+        steps += 1
+        i, left, chosen = todo.pop()
+        if i < len(lengths) and lengths[i] == (chosen[-1] if chosen else 0) and chosen.count(lengths[i]) >= have[lengths[i]]:
+            i += 1
+        while i < len(lengths) and lengths[i] > left:
             i += 1
-        used: dict[int, int] = {}
-        for n in chosen:
-            used[n] = used.get(n, 0) + 1
-        fits = [j for j in range(i, len(lengths)) if used.get(lengths[j], 0) < have[lengths[j]]]
-        if not fits:
-            if not any(n <= room and used.get(n, 0) < have[n] for n in lengths):
-                found.append((room, chosen))
-            return
-        # The best single piece for this room, then shorter ones that leave room for more.
-        for j in fits[:3]:
-            if len([w for w, _ in found if w == 0]) >= most:
-                return
-            extend(j, room - lengths[j], (*chosen, lengths[j]))
-
-    extend(0, room, ())
-    exact = _exact_sum(have, room)
-    if exact is not None:
-        found.append((0, exact))
-    found.append((room - sum(g := _greedy(have, lengths, room)), g))
-    out: dict[tuple[int, ...], int] = {}
-    for waste, chosen in sorted(found, key=lambda x: (x[0], len(x[1]), [-n for n in x[1]])):
-        out.setdefault(tuple(sorted(chosen, reverse=True)), waste)
-    return [(largest, *c) for c in list(out)[:most]]
+        if i == len(lengths):
+            add(chosen)
+            continue
+        todo.append((i + 1, left, chosen))  # then those without this length
+        todo.append((i, left - lengths[i], (*chosen, lengths[i])))
+    full = _exact_sum(have, room)
+    if full is not None:
+        add(full)
+    greedy = _greedy(have, lengths, room)
+    add(greedy)
+    if not found:
+        found[greedy] = 0
+    return [(largest, *c) for c in sorted(found, key=lambda c: (found[c], len(c), [-n for n in c]))[:most]]
 
 
 def _greedy(have: dict[int, int], lengths: list[int], room: int) -> tuple[int, ...]:
@@ -255,63 +277,56 @@ def _exact_sum(have: dict[int, int], room: int) -> tuple[int, ...] | None:
 def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, node_limit: int = NODE_LIMIT) -> list[tuple[int, tuple[int, ...]]]:
     """Fillings and how often each is used; every piece of the histogram has a place.
 
-    Depth-first bin completion: the first descent repeats each filling while its lengths last; later
-    descents branch from the back, where pieces are few. A branch ends when its waste so far shows
+    Half of the steps go to depth-first bin completion, which branches from the back, where fillings
+    have the fewest pieces to choose from. The others go to descents that now and then take another than
+    the first filling, or fewer repeats of it, at any depth. A branch ends when its waste so far shows
     that it cannot beat the incumbent, the search when the incumbent meets the lower bound.
     """
     counts = {n: k for n, k in counts.items() if k}
     if not counts:
         return []
-    bound = lower_bound(counts, capacity)
-    total = sum(n * k for n, k in counts.items())
+    bound, total = lower_bound(counts, capacity), sum(n * k for n, k in counts.items())
     incumbent = best_fit(counts, capacity)
-    best = sum(t for t, _ in incumbent)
-    nodes = [node_limit]
-    path: list[tuple[int, tuple[int, ...]]] = []
+    best, nodes, rng = sum(t for t, _ in incumbent), node_limit, random.Random(0)
 
-    def uses(filling):
-        need: dict[int, int] = {}
-        for n in filling:
-            need[n] = need.get(n, 0) + 1
-        return need
-
-    # Explicit stack of (choices left, counts before); depth is bounded by the fillings of a plan.
-    left = dict(counts)
-    stack: list[list] = []
-    waste = 0
-    wastes: list[int] = []
-    while nodes[0] > 0 and best > bound:
-        if left:
-            nodes[0] -= 1
-            slack = (best - 1) * capacity - total  # waste that a better plan may have
-            if waste > slack:
-                options: list[tuple[int, ...]] = []
-            else:
-                # Branch only where few pieces are left; before, the best filling is taken.
-                width = 6 if sum(left.values()) <= 400 else 1
-                options = completions(left, max(left), capacity, width)[:width]
-            stack.append([options, left, waste])
-        else:
-            used = sum(t for t, _ in path)
-            if used < best:
+    def after(left: dict[int, int], filling: tuple[int, ...], share: float = 1.0) -> tuple[int, dict[int, int]]:
+        need = Counter(filling)
+        times = max(1, int(share * min(left[n] // k for n, k in need.items())))
+        return times, {n: r for n, k in left.items() if (r := k - need.get(n, 0) * times)}
+
+    # Depth first: the path so far, and at each depth the choices left and what they start from.
+    path: list[tuple[int, tuple[int, ...]]] = []
+    stack: list[tuple[list[tuple[int, ...]], dict[int, int], int]] = []
+    left, waste = counts, 0
+    while nodes > node_limit // 2 and best > bound:
+        nodes -= 1
+        if not left:
+            if (used := sum(t for t, _ in path)) < best:
                 best, incumbent = used, list(path)
-            if best <= bound:
-                break
-        # Take the next option of the deepest level that has one.
+        elif waste <= (best - 1) * capacity - total:
+            stack.append((completions(left, max(left), capacity), left, waste))
         while stack and not stack[-1][0]:
             stack.pop()
-            if path and len(path) > len(stack) - 1:
-                del path[max(0, len(stack) - 1) :]
         if not stack:
-            break
-        del path[len(stack) - 1 :]
+            return incumbent  # all has been tried
         options, base, before = stack[-1]
+        del path[len(stack) - 1 :]
         filling = options.pop(0)
-        need = uses(filling)
-        times = min(base[n] // k for n, k in need.items())
-        left = {n: r for n, k in base.items() if (r := k - need.get(n, 0) * times)}
+        times, left = after(base, filling)
         waste = before + times * (capacity - sum(filling))
         path.append((times, filling))
+    while nodes > 0 and best > bound:
+        path, left, waste = [], counts, 0
+        while left and nodes > 0 and waste <= (best - 1) * capacity - total:
+            nodes -= 1
+            options = completions(left, max(left), capacity)
+            other = rng.random() < 0.15
+            filling = options[rng.randrange(len(options)) if other else 0]
+            times, left = after(left, filling, rng.random() if rng.random() < 0.15 else 1.0)
+            waste += times * (capacity - sum(filling))
+            path.append((times, filling))
+        if not left and (used := sum(t for t, _ in path)) < best:
+            best, incumbent = used, path
     return incumbent
 
 

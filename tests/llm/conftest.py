@@ -1,11 +1,11 @@
 import pytest
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, uid long, row_hash long, _bucket int, sha binary, kept boolean, best int"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, uid long, row_hash long, _bucket int, sha binary, kept boolean, best int, _row_hash long, _key long, _HOST string"
 
 
 def make(spark, rows, schema=COLUMNS):
     """Documents with extra columns whose names clash with those that operators add."""
-    rows = [(i, t, "en", "src", len(t or ""), 1, 2, 3, b"x", None, None)[: len(schema.split(","))] for i, t in rows]
+    rows = [(i, t, "en", "src", len(t or ""), 1, 2, 3, b"x", None, None, 4, 5, "h")[: len(schema.split(","))] for i, t in rows]
     return spark.createDataFrame(rows, schema).repartition(3)
 
 

@@ -1,3 +1,5 @@
+from collections import defaultdict
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -83,3 +85,53 @@ def test_rare_languages_are_answers(spark):
 def test_even_quota():
     assert L.even_quota([3, 3000], 40) == 37 and L.even_quota([5, 5], 40) >= 5 and L.even_quota([9] * 50, 40) == 1
     assert L.even_quota([100, 100, 100], 90) == 30
+
+
+def posterior(rows, model):
+    """(language, confidence) of each (text, host, markup), by the formulas one by one."""
+    names = [*model.languages, "und"]
+    size = len(names)
+    parent = lambda h: ".".join(h.split(".")[-2:]) if "." in h else ""
+    suffix = lambda h: L.SUFFIXES.get(h.split(".")[-1]) if "." in h else None
+    scores, grams = L.likelihoods(model, [(t or "").encode() for t, _, _ in rows])
+    scores = scores * L.TEMPER
+    share = np.exp(scores - scores.max(axis=1, keepdims=True))
+    share /= share.sum(axis=1, keepdims=True)
+    own = share * (grams > 0)[:, None]
+    by_host, by_parent = defaultdict(lambda: np.zeros(size)), defaultdict(lambda: np.zeros(size))
+    for (_, host, _), x in zip(rows, own):
+        by_host[host or ""] += x
+        by_parent[parent(host or "")] += x
+    overall = (own.sum(axis=0) + 1) / (own.sum() + size)
+    sure = []
+    for told in (lambda r: r[2], lambda r: suffix(r[1] or "")):
+        mine = [share[i][names.index(told(r))] for i, r in enumerate(rows) if grams[i] >= 50 and told(r) in names]
+        sure.append(min(0.99, max(1 / size, np.mean(mine) if mine else 0.5)))
+    out = []
+    for i, (_, host, markup) in enumerate(rows):
+        host, seen = host or "", float(grams[i] > 0)
+        prior = overall
+        if host:
+            up = (np.maximum(by_parent[parent(host)] - own[i], 0) + L.HOST_WEIGHT * overall) / (max(by_parent[parent(host)].sum() - seen, 0) + L.HOST_WEIGHT)
+            prior = (np.maximum(by_host[host] - own[i], 0) + L.HOST_WEIGHT * up) / (max(by_host[host].sum() - seen, 0) + L.HOST_WEIGHT)
+        total = scores[i] + np.append(np.log(prior[:-1]), np.log(L.UNKNOWN))
+        for told, s in zip((markup, suffix(host)), sure):
+            if told in names:
+                total = total + np.where(np.array(names) == told, np.log(s), np.log((1 - s) / (size - 1)))
+        weight = np.exp(total - total.max())
+        out.append((names[int(np.argmax(total))], weight.max() / weight.sum()) if seen else ("und", 0.0))
+    return out
+
+
+def test_posteriors_against_brute_force(spark):
+    model = model_of(spark)
+    rng = np.random.default_rng(7)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    hosts = ["a.site.de", "b.site.de", "www.other.fr", "x.com", "com", "", None, "src1", "y.co.uk"]
+    marks = ["en", "de", None, "xx", "fr"]
+    rows = [(t[:n] if t else t, hosts[rng.integers(len(hosts))], marks[rng.integers(len(marks))]) for t in texts for n in (5, 30, 400)] + [(None, "x.com", "en"), ("", "", "de"), ("  ", None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k long, text string, h string, m string").repartition(3)
+    got = {r.k: r for r in L.identify(df, model, ["k"], F.col("h"), F.col("m")).collect()}
+    want = posterior(rows, model)
+    assert all(np.isclose(got[i].confidence, c, rtol=1e-6) for i, (_, c) in enumerate(want))
+    assert all(got[i].language == x for i, (x, _) in enumerate(want))

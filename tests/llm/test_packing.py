@@ -1,7 +1,9 @@
 import json
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -110,3 +112,40 @@ def test_fewest_sequences_on_small_cases(seed):
 def test_search_beats_best_fit():
     counts = {7: 2, 6: 2, 5: 2, 4: 2, 3: 4, 8: 1, 12: 1}
     assert sum(t for t, _ in P.plan_sequences(counts, 20)) == P.lower_bound(counts, 20)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=9), st.integers(1, 20))
+def test_undominated_fillings(pieces, room):
+    """Swapping pieces for longer ones within the capacity never turns a filling into another that is kept out."""
+    capacity = 12 + room
+    counts = dict(Counter([12, *pieces]))
+    got = P.completions(counts, 12, capacity, 1000)
+    rest = Counter(pieces)
+    every = {tuple(sorted(c, reverse=True)) for n in range(len(pieces) + 1) for c in combinations(pieces, n) if sum(c) <= room}
+
+    def beats(a, b):
+        """Whether each piece of a can take pieces of b that are no longer together, so that all of b have a place."""
+        if not b:
+            return True
+        return any(x >= b[0] and beats(tuple(sorted((*a[:i], x - b[0], *a[i + 1 :]), reverse=True)), b[1:]) for i, x in enumerate(a))
+
+    kept = {c[1:] for c in got}
+    assert kept <= every and all(not Counter(c) - rest for c in kept)
+    assert all(any(beats(k, c) for k in kept) for c in every)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_search_where_most_pieces_are_over_a_quarter(seed):
+    """Planted triples that fill sequences: the search is closer to the bound than best fit is."""
+    rng = random.Random(seed)
+    pieces = []
+    for _ in range(300):
+        a = rng.randint(520, 760)
+        b = rng.randint(520, 760)
+        pieces += [a, b, 2048 - a - b]
+    counts = dict(Counter(pieces))
+    began = time.time()
+    used = sum(t for t, _ in P.plan_sequences(counts, node_limit=3000))
+    print(seed, used, P.lower_bound(counts, 2048), sum(t for t, _ in P.best_fit(counts, 2048)), time.time() - began)
+    assert P.lower_bound(counts, 2048) <= 300 <= used <= 306 < sum(t for t, _ in P.best_fit(counts, 2048))
