@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import PerceptualHashError
+from . import jpeg
 
 SAMPLES = 65
 MAX_CHUNK = 256 << 20
@@ -103,8 +104,8 @@ def luma(rgb: np.ndarray) -> np.ndarray:
 
 
 def image_hash(content: bytes, size: int = 8) -> int:
-    """dHash of a PNG (not interlaced) or binary PGM / PPM file. Other formats go through Spark's image
-    source and `pixel_hash`."""
+    """dHash of a PNG (not interlaced), baseline JPEG or binary PGM / PPM file. Other formats go through
+    Spark's image source and `pixel_hash`."""
     return gradient_hash(decode(content), size)
 
 
@@ -113,13 +114,16 @@ def decode(content: bytes) -> np.ndarray:
     try:
         if content[:8] == b"\x89PNG\r\n\x1a\n":
             return _png(content)
+        if content[:3] == b"\xff\xd8\xff":
+            pixels = jpeg.decode(content)
+            return pixels[..., 0] if pixels.shape[2] == 1 else luma(pixels)
         if content[:2] in (b"P5", b"P6"):
             head = content.split(maxsplit=4)
             width, height, _ = map(int, head[1:4])
             n = 1 if content[:2] == b"P5" else 3
             data = np.frombuffer(content[-width * height * n :], np.uint8).reshape(height, width, n)
             return data[..., 0] if n == 1 else luma(data)
-    except (ValueError, IndexError, struct.error, zlib.error) as e:
+    except (ValueError, LookupError, struct.error, zlib.error) as e:
         raise PerceptualHashError(f"image cannot be decoded: {e}") from None
     raise PerceptualHashError("unknown image format")
 

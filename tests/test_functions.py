@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ruleweave.errors import ChatError, PerceptualHashError
-from ruleweave.functions import chunkers, cleaners, hashing, vectors
+from ruleweave.functions import chunkers, cleaners, hashing, jpeg, vectors
 from ruleweave.functions.chat_text import answer_explanation, answer_matches, prompt, read_answer, read_completion
 from ruleweave.operators import models
 
@@ -206,3 +206,33 @@ def test_connections_are_kept_and_renewed():
     server.shutdown()
     with pytest.raises(OSError):
         models.post_json("http://127.0.0.1:9/none", {}, {}, 1)
+
+
+@pytest.mark.parametrize("kind, size", [("gray", (40, 61)), ("colour", (48, 64)), ("colour", (33, 17))])
+def test_jpeg_against_the_jvm(spark, kind, size):
+    """Files that the JVM's encoder writes, and the pixels that its decoder reads."""
+    height, width = size
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(width, height, 10 if kind == "gray" else 1)
+    y, x = np.mgrid[:height, :width]
+    waves = [(127 + 120 * np.sin(x / 9 + k) * np.cos(y / (7 + k))).astype(int) for k in range(3)]
+    for i in range(height):
+        for j in range(width):
+            image.setRGB(j, i, int(sum(int(w[i, j]) << s for w, s in zip(waves if kind == "colour" else waves[:1] * 3, (16, 8, 0)))))
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    content = bytes(out.toByteArray())
+    read = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(content))
+    got = jpeg.decode(content)
+    assert got.shape == (height, width, 1 if kind == "gray" else 3)
+    if kind == "gray":
+        want = np.array([[read.getRaster().getSample(j, i, 0) for j in range(width)] for i in range(height)])
+        assert np.abs(got[..., 0].astype(int) - want).max() <= 1
+    else:
+        want = np.array([[[(read.getRGB(j, i) >> s) & 255 for s in (16, 8, 0)] for j in range(width)] for i in range(height)])
+        assert np.abs(got.astype(int) - want).mean() < 6  # colour differences are not smoothed here
+    gray = want if kind == "gray" else hashing.luma(want)
+    assert bin((hashing.image_hash(content) ^ hashing.gradient_hash(gray)) & (1 << 64) - 1).count("1") <= 3
+    for broken in (content[:100], content[: len(content) // 2], content[:2] + b"\x00" * 50):
+        with pytest.raises(PerceptualHashError):
+            hashing.image_hash(broken)
