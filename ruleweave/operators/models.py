@@ -296,21 +296,33 @@ class OnnxEmbedder:
     folder: str
     max_tokens: int = 256
 
-    def embed(self, texts):
-        return [self._one(t) if t else [] for t in texts]
+    #: Texts of about the same length that go through the model together.
+    batch: int = 32
 
-    def _one(self, text: str) -> list[float]:
+    def embed(self, texts):
+        out: list[list[float]] = [[] for _ in texts]
+        some = [i for i, t in enumerate(texts) if t]
+        if not some:
+            return out
         try:
             tokenizer, session = _onnx(self.folder)
-            tokenizer.enable_truncation(self.max_tokens)
-            e = tokenizer.encode(text)
-            feeds = {"input_ids": e.ids, "attention_mask": e.attention_mask, "token_type_ids": e.type_ids}
-            wanted = {i.name for i in session.get_inputs()}
-            feeds = {k: np.array([v], np.int64) for k, v in feeds.items() if k in wanted}
-            names = [o.name for o in session.get_outputs()]
-            hidden = session.run(["last_hidden_state" if "last_hidden_state" in names else names[0]], feeds)[0][0]
+            found = dict(zip(some, tokenizer.encode_batch([texts[i] for i in some])))
+            some = sorted((i for i in some if found[i].ids), key=lambda i: len(found[i].ids))
+            for k in range(0, len(some), self.batch):
+                part = some[k : k + self.batch]
+                for i, vector in zip(part, self._vectors(session, [found[i] for i in part])):
+                    out[i] = vector.tolist()
         except Exception as e:
             raise SemanticError(f"{self.folder}: {e}") from None
-        mask = np.array(e.attention_mask, np.float32)[:, None]
-        mean = (hidden * mask).sum(axis=0) / max(mask.sum(), 1e-9)
-        return (mean / max(float(np.linalg.norm(mean)), 1e-12)).tolist()
+        return out
+
+    def _vectors(self, session, found) -> np.ndarray:
+        """Unit vectors of tokenized texts; shorter ones are padded, and the mask leaves that out."""
+        size = min(self.max_tokens, max(len(e.ids) for e in found))
+        fill = lambda values: np.array([[*v[:size], *[0] * (size - len(v))] for v in values], np.int64)
+        feeds = {"input_ids": fill(e.ids for e in found), "attention_mask": fill(e.attention_mask for e in found), "token_type_ids": fill(e.type_ids for e in found)}
+        wanted, names = {i.name for i in session.get_inputs()}, [o.name for o in session.get_outputs()]
+        hidden = session.run(["last_hidden_state" if "last_hidden_state" in names else names[0]], {k: v for k, v in feeds.items() if k in wanted})[0]
+        mask = feeds["attention_mask"][:, :, None].astype(np.float32)
+        mean = (hidden * mask).sum(axis=1) / np.maximum(mask.sum(axis=1), 1e-9)
+        return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
