@@ -63,7 +63,7 @@ def find(p: StringPattern, text: str) -> list[MatchDetail]:
 
 
 def _hits(search: Search, text: str) -> list[tuple[str, int, int]]:
-    begins = [0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in text)]
+    begins = range(len(text) + 1) if text.isascii() else [0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in text)]
     if not search.stripped:
         return [(m[0], begins[m.start()], begins[m.end()]) for m in finditer(search.compiled, text)]
     # Offsets are those of the characters that stay, and the end of the text.
@@ -93,6 +93,12 @@ def _source(search: Search, text: Column) -> Column:
     return F.translate(text, "\0", "") if search.stripped else text
 
 
+def _likely(search: Search, text: Column) -> Column:
+    """False where a match is impossible, as it would have a literal that the text doesn't have."""
+    needed = search.compiled.required
+    return F.contains(_source(search, text), F.lit(needed)) if needed else F.lit(True)
+
+
 def exists(p: StringPattern, text: Column) -> Column:
     """Whether the pattern has a hit; never null for text that is not."""
     found = []
@@ -100,7 +106,7 @@ def exists(p: StringPattern, text: Column) -> Column:
         if s.literal is not None:
             found.append(F.contains(text, F.lit(s.literal)))
         elif s.compiled.java is not None:
-            found.append(_source(s, text).rlike(s.compiled.java))
+            found.append(_likely(s, text) & _source(s, text).rlike(s.compiled.java))
         else:
             found.append(_udf(s, False)(text) > 0)
     return _either(found)
@@ -120,7 +126,7 @@ def count(p: StringPattern, text: Column) -> Column:
         if s.literal is not None:
             n = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(s.literal), F.lit("")))) / len(s.literal.encode())
         elif _native(s):
-            n = F.regexp_count(_source(s, text), F.lit(s.compiled.java))
+            n = F.when(_likely(s, text), F.regexp_count(_source(s, text), F.lit(s.compiled.java))).otherwise(F.when(text.isNotNull(), 0))
         else:
             n = _udf(s, False)(text)
         total = total + n.cast("bigint")
@@ -134,6 +140,7 @@ def details(p: StringPattern, text: Column) -> Column:
         if _native(s) and not s.stripped:
             found = F.regexp_extract_all(text, F.lit(s.compiled.java), F.lit(0))
             hits = bound(F.struct(found.alias("hits"), F.split(text, s.compiled.java, -1).alias("gaps")), lambda both: _placed(p, both["hits"], both["gaps"]))  # noqa: B023
+            hits = F.when(_likely(s, text), hits).otherwise(F.when(text.isNotNull(), empty_details()))
         else:
             hits = F.transform(_udf(s, True)(text), lambda h: _hit(p, h["matched_text"], h["start_pos"], h["end_pos"]))
         parts.append(hits)

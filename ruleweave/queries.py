@@ -16,6 +16,7 @@ from .lang.model import StringPattern
 from .operators import reports, scoring
 from .operators.models import FunctionChat, HashingEmbedder, TableClassifier, TableEmbedder
 from .plans import strings
+from .plans.partitions import spread
 from .sources.rule_files import transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +37,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,3 +97,9 @@ def test_literals_are_found_as_python_finds_them(text, literal):
     hits = strings.find(p(literal), text)
     assert len(hits) == text.count(literal)
     assert all(text.encode()[h.start_pos : h.end_pos].decode() == literal for h in hits)
+
+
+@pytest.mark.parametrize("pattern, want", [("key7[a-z]+", "key7"), ("(?:abc)def", "abcdef"), (r"\bword\b", "word"), ("(?i)abcd", None), ("(?i:abc)defg", "defg"), ("abcd|efgh", None), ("(abcd|x)yz", None), ("abcd?", "abc"), ("(abcd)*", None), ("(abcd){2}", None), ("a.cdef", "cdef"), ("ab", None), ("(?s)a.*xyz$", "xyz"), ("[a]bcd", "abcd")])
+def test_required_literals(pattern, want):
+    assert translate(pattern).required == want
+    assert translate(pattern, nocase=True).required is None
