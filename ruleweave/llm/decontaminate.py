@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.partitions import spread
 from ..shipping import Shared
 from .common import in_tasks, keep_rows, slices
 from .near_dedup import mix
@@ -242,7 +243,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     """
     spark = docs.sparkSession
     schema = "doc_id long, row_hash long, item_id long, first_word long, end_word long, edits long, similarity double"
-    source = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
+    source = spread(docs.select("doc_id", "text")).select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
     out, block, words = None, [], 0
 
     def search(block):

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.partitions import spread
 from . import bloom
 from .common import in_tasks, keep_rows, materialize, partition, slices, texts
 
@@ -75,7 +76,7 @@ def decide(docs: DataFrame) -> DataFrame:
     empty table gives no rows. Only doc_id and text are read; other columns may have any name.
     row_hash (a 64-bit hash of the raw text) tells apart rows that share a doc_id.
     """
-    source = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
+    source = spread(docs.select("doc_id", "text")).select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
     tested = _tested(materialize(in_tasks(source, _digests, "doc_id long, row_hash long, sha binary, uid long"), "digests"))
     once = tested.where("not maybe").select("doc_id", "row_hash", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     several = tested.where("maybe")

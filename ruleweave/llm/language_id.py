@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.partitions import spread
 from ..shipping import Shared
 from .common import in_tasks, keep_rows, materialize, slices, texts
 
@@ -142,7 +143,7 @@ def identify(rows: DataFrame, model: Model, keys: list[str], host: Column | None
     size = len(names)
     host = F.coalesce(host, F.lit("")) if host is not None else F.lit("")
     markup = F.substring_index(F.substring_index(F.lower(markup), "-", 1), "_", 1) if markup is not None else F.lit(None).cast("string")
-    source = rows.select(*keys, "text", host.alias("_host"), markup.alias("_markup"))
+    source = spread(rows.select(*keys, "text", host.alias("_host"), markup.alias("_markup")))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "text")
     shared = Shared(spark.sparkContext, model)
     scored = in_tasks(source, _score(shared, [*keys, "_host", "_markup"]), f"{kinds}, n_grams long, ll array<double>, post array<double>")

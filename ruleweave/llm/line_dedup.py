@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.partitions import spread
 from .common import fresh, in_tasks, materialize, partition, slices
 
 #: Blocks of fewer words stay: they are common by chance.
@@ -223,7 +224,7 @@ def deletions(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     of one id are ordered too, so that copies of a row lose their lines to one. Null and empty texts have
     no lines. An empty table gives no rows. Only doc_id and text are read.
     """
-    source = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
+    source = spread(docs.select("doc_id", "text")).select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
     sequence = "hashes array<long>, places array<int>, words array<int>, keys array<long>, begins array<int>, ends array<int>"
     found = materialize(in_tasks(source, _lines(least), f"doc_id long, row_hash long, uid long, n_lines long, {sequence}"), "lines")
     window = found.select("doc_id", "uid", F.explode(F.array_distinct("keys")).alias("hash"))

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.partitions import spread
 from . import bloom
 from .common import forget, in_tasks, keep_rows, materialize, partition, slices, texts
 from .components import components, extended
@@ -205,8 +206,9 @@ class _Links:
         self.new: DataFrame | None = None  # links of the last round
 
     def star(self, proposed: DataFrame) -> bool:
-        """Confirm pairs of members and hubs (cid, hub, with no duplicates); true if there are new links."""
-        pairs = proposed.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"), F.col("hub").alias("host"))
+        """Confirm pairs of members and hubs (cid, hub; not those that are `old` too); true if there are new links."""
+        pairs = proposed.groupBy(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).agg(F.min("hub").alias("host"), F.max("old").alias("old"))
+        pairs = pairs.where("old = 0").select("a", "b", "host")
         sides = [self.classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}")) for c in "ab"]
         likely = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "host", "na", "sa", "nb", "sb")
         likely = materialize(in_tasks(likely, _likely(self.percent), "a long, b long, host long, na long, nb long"), "likely")
@@ -225,7 +227,8 @@ class _Links:
         is sent once to a group and not once for each pair, and no group holds much more than its share."""
         other = F.when(F.col("a") == F.col("host"), F.col("b")).otherwise(F.col("a"))
         dealt = likely.select("a", "b", "host", F.pmod(F.xxhash64(other), F.lit(parts)).alias("part"))
-        needed = dealt.select(F.col("host").alias("h"), F.col("part").alias("p"), F.explode(F.array("a", "b")).alias("cid")).distinct()
+        members = dealt.select(F.col("host").alias("h"), F.col("part").alias("p"), other.alias("cid"))
+        needed = members.unionByName(members.select("h", "p", F.col("h").alias("cid")).distinct())
         return dealt.groupBy("host", "part").cogroup(self.sets_of(needed).groupBy("h", "p")).applyInArrow(_confirm(self.percent), "a long, b long")
 
     def sets_of(self, needed: DataFrame) -> DataFrame:
@@ -272,6 +275,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     empty table gives no rows. Only doc_id and text are read. Classes are told apart by 128 bits of their
     sets' hashes, and by 64 of these while links are looked for.
     """
+    docs = spread(docs.select("doc_id", "text"))
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
     found = materialize(in_tasks(source, _sketch(width, percent), "doc_id long, row_hash long, uid long, n long, mark binary, cid long, sign binary, bands array<long>"), "sketches")
     order = F.coalesce("doc_id", F.lit(_LAST))
@@ -288,16 +292,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = _Links(docs, materialize(partnered, "partnered"), width, percent)
     shared = members.where("cid <> hub").groupBy("cid", "hub").agg(F.count(F.lit(1)).alias("k"))
     nearest = materialize(shared.groupBy("cid").agg(F.max_by("hub", "k").alias("hub")), "nearest")
-    gained, salt, active = links.star(nearest), 0, members
+    gained, salt, active = links.star(nearest.withColumn("old", F.lit(0))), 0, members
     while gained or not salt:
         # Without any link so far, every member is a component of its own.
         labels = links.labels if links.labels is not None else nearest.select(F.col("cid").alias("node"), F.col("cid").alias("component"))
         still = _open(active, labels)
-        proposed = _finer(still, salt)
+        proposed = _finer(still, salt).withColumn("old", F.lit(0))
         if not salt:
-            stars = still.where("component <> home").select("cid", "hub")
-            proposed = proposed.unionByName(stars).join(nearest, ["cid", "hub"], "left_anti")
-        gained = links.star(proposed.distinct())
+            stars = still.where("component <> home").select("cid", "hub", F.lit(0).alias("old"))
+            proposed = proposed.unionByName(stars).unionByName(nearest.withColumn("old", F.lit(1)))
+        gained = links.star(proposed)
         if gained:
             linked = links.new.select(F.explode(F.array("a", "b")).alias("cid"))
             active = still.where("size > 2").select("bucket", "cid", "hub", "size")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.partitions import spread
 from .common import bucket_count, in_tasks, materialize, ranked, slices
 
 CAPACITY = 2048
@@ -115,7 +116,7 @@ def _pieces(vocabulary: str, capacity: int, with_ids: bool):
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of each piece of at most `capacity` tokens."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return in_tasks(docs.select("doc_id", "text"), _pieces(vocabulary, capacity, with_ids), schema)
+    return in_tasks(spread(docs.select("doc_id", "text")), _pieces(vocabulary, capacity, with_ids), schema)
 
 
 # -- search ---------------------------------------------------------------------------------

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.partitions import spread
 from .common import bucket_count, in_tasks, materialize, ranked, slices, texts
 from .near_dedup import mix, word_hashes
 
@@ -57,7 +58,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> np.ndar
     the target model those of at most `most` ids labelled with quality 1, and never otherwise. Without any,
     all are 0."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    marked = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("target", F.lit(True))), "doc_id", "left")  # at most `most` ids
+    marked = spread(docs.select("doc_id", "text")).join(F.broadcast(good.withColumn("target", F.lit(True))), "doc_id", "left")  # at most `most` ids
     counted = in_tasks(marked.select("text", F.coalesce("target", F.lit(False)).alias("target")), _counts, "bucket long, raw long, target long")
     counts = np.zeros((2, BUCKETS))
     for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # at most BUCKETS rows
@@ -85,7 +86,7 @@ def _weigh(shared):
 def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """doc_id, row_hash, n_features, log_weight of every row; null and empty texts weigh 0."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    source = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
+    source = spread(docs.select("doc_id", "text")).select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
     return in_tasks(source, _weigh(shared), "doc_id long, row_hash long, n_features long, log_weight double")
 
 

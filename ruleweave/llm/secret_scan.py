@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..plans.partitions import spread
 from ..shipping import Shared
 from . import automaton
 from .common import in_tasks, slices, utf8
@@ -130,4 +131,4 @@ def secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, base: int =
             )
 
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in names[:base]) + ", base_sha256 string, spans string"
-    return in_tasks(docs.select("doc_id", "text"), run, schema)
+    return in_tasks(spread(docs.select("doc_id", "text")), run, schema)

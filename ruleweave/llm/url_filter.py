@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..plans.partitions import spread
 from ..shipping import Shared
 from .common import in_tasks, materialize
 
@@ -126,5 +127,5 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
     out = None
     for i in range(0, max(1, len(rules)), TRIE_RULES):
         shared = Shared(pages.sparkSession.sparkContext, build_trie(rules[i : i + TRIE_RULES]))
-        out = in_tasks(pages.select(key, "url") if out is None else materialize(out, "judged"), run_with(shared, out is None), schema)
+        out = in_tasks(spread(pages.select(key, "url")) if out is None else materialize(out, "judged"), run_with(shared, out is None), schema)
     return out.select(*names[:5])
