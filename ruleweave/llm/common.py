@@ -38,13 +38,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ruleweave-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     if not _OWNED:
         atexit.register(_clean)
     _OWNED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of SLICE_BYTES, which executors hold several times over; the session's own size after."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(SLICE_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete materialized tables that no returned plan reads any more."""
     for table in tables:
