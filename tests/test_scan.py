@@ -258,3 +258,16 @@ def test_streams(spark, tmp_path):
     q = alert_counts(rules, stream(), "ts", "1 minute", "1 minute").writeStream.outputMode("complete").format("memory").queryName("alerts").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert rows(spark.table("alerts").select("rule_name", "matches")) == [("greeting", 1), ("injection", 1)]
+
+
+def test_small_inputs_are_dealt_to_all_cores(spark, sf_dir):
+    from ruleweave.plans.partitions import spread
+
+    few = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    assert few.rdd.getNumPartitions() < cores and spread(few).count() == few.count()
+    assert "Repartition" in spread(few)._jdf.queryExecution().logical().toString()
+    many = spark.range(0, 100, 1, cores)
+    assert spread(many) is many
+    shuffled = few.groupBy("lang").count()
+    assert spread(shuffled) is shuffled
