@@ -32,7 +32,7 @@ LEAST_WORDS = 5
 #: Alignments of one pair.
 ROUNDS = 3
 #: Lines of later documents that one group of pairs holds, about.
-GROUP_LINES = 200_000
+GROUP_LINES = 20_000
 
 _SHORT, _LONG = pa.list_(pa.int32()), pa.list_(pa.int64())
 
