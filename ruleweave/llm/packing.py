@@ -29,7 +29,7 @@ from .common import bucket_count, in_tasks, materialize, ranked, slices
 CAPACITY = 2048
 END_ID = 0
 #: Search steps in all, steps that list the fillings of one sequence, and fillings tried at each step.
-NODE_LIMIT, FILLING_STEPS, WIDTH = 4_000, 400, 6
+NODE_LIMIT, FILLING_STEPS, WIDTH = 800, 400, 6
 
 
 # -- tokens ---------------------------------------------------------------------------------
