@@ -10,8 +10,10 @@ A star can miss a link between two members that are not the hub's. So members of
 in finer buckets that two bands make together: a pair at similarity 0.8 shares some 30 of these, each of
 which picks a hub of its own and proposes a star between components. Rounds of this, with new hubs, go
 on in a bucket until one links nothing there. Every round proposes at most as many pairs as there are
-memberships; no bucket, pair or partner is dropped for its size. Sets too small to reach the similarity
-with any other set are classes only.
+memberships, and none that an earlier round has confirmed or refuted; no bucket, pair or partner is
+dropped for its size. Sets too small to reach the similarity with any other set are classes only.
+Members are confirmed by family (the least hub of a member's buckets), each with all its hubs at once: a
+round sends a member's set once however many pairs it is in, and a hub's once to each group of members.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ BINS, BANDS, BAND_BINS = 128, 25, 5
 #: Pairs whose sketches agree in a share of bins that is so many standard deviations below what the
 #: similarity gives are dropped unconfirmed. Copied bins don't count; small sets are as good as all confirmed.
 DEVIATIONS = 5
-#: Shingles that one group of star pairs is confirmed with, about.
+#: Shingles in the pairs that one group confirms, about; larger families are dealt to several groups.
 GROUP_SHINGLES = 2_000_000
 
 _MIX1, _MIX2, _MIX3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -155,17 +157,17 @@ def _likely(percent: int):
             filled = BINS * (1 - (1 - 1 / BINS) ** low)
             least = percent / 100 - DEVIATIONS * np.sqrt(percent / 100 * (1 - percent / 100) / filled)
             ok &= (_signs(b["sa"]) == _signs(b["sb"])).mean(axis=1) >= least
-            yield b.select(["a", "b", "host", "na", "nb"]).filter(pa.array(ok))
+            yield b.select(["a", "b", "host", "family", "na", "nb"]).filter(pa.array(ok))
 
     return run
 
 
 def _confirm(percent: int):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        held = dict(zip(sets["cid"].to_pylist(), sets["shingles"].to_pylist()))
+        held = {c: np.frombuffer(s, np.uint64) for c, s in zip(sets["cid"].to_pylist(), sets["shingles"].to_pylist())}
         ok = []
         for x, y in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
-            x, y = np.frombuffer(held[x], np.uint64), np.frombuffer(held[y], np.uint64)
+            x, y = held[x], held[y]
             both = len(np.intersect1d(x, y, assume_unique=True))
             ok.append(100 * both >= percent * (len(x) + len(y) - both))
         return pairs.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -204,32 +206,41 @@ class _Links:
         self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
         self.labels: DataFrame | None = None  # node, component of all that is linked so far
         self.new: DataFrame | None = None  # links of the last round
+        self.tested: list[DataFrame] = []  # pairs that were confirmed or refuted
 
     def star(self, proposed: DataFrame) -> bool:
-        """Confirm pairs of members and hubs (cid, hub; not those that are `old` too); true if there are new links."""
-        pairs = proposed.groupBy(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).agg(F.min("hub").alias("host"), F.max("old").alias("old"))
-        pairs = pairs.where("old = 0").select("a", "b", "host")
-        sides = [self.classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}")) for c in "ab"]
-        likely = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "host", "na", "sa", "nb", "sb")
-        likely = materialize(in_tasks(likely, _likely(self.percent), "a long, b long, host long, na long, nb long"), "likely")
-        shingles = likely.agg(F.sum(F.col("na") + F.col("nb"))).first()[0]
-        if not shingles:
+        """Confirm pairs of members and hubs (cid, hub) that have not been tested; true if there are new links."""
+        pairs = proposed.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"), "hub", F.lit(0).alias("old"))
+        for done in self.tested:
+            pairs = pairs.unionByName(done.select("a", "b", F.col("host").alias("hub"), F.lit(1).alias("old")))
+        pairs = pairs.groupBy("a", "b").agg(F.min("hub").alias("host"), F.max("old").alias("old")).where("old = 0").select("a", "b", "host")
+        sides = [self.classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}"), F.col("family").alias(f"f{c}")) for c in "ab"]
+        family = F.when(F.col("a") == F.col("host"), F.col("fb")).otherwise(F.col("fa")).alias("family")
+        likely = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "host", family, "na", "sa", "nb", "sb")
+        likely = materialize(in_tasks(likely, _likely(self.percent), "a long, b long, host long, family long, na long, nb long"), "likely")
+        if likely.isEmpty():
+            forget(likely)
             return False
-        self.new = found = materialize(self.confirm(likely, -(-shingles // GROUP_SHINGLES)), "links")
-        forget(likely)
+        self.tested.append(likely)
+        self.new = found = materialize(self.confirm(likely), "links")
         gained = not found.isEmpty()
         if gained:
             self.labels = components(found) if self.labels is None else extended(self.labels, found)
         return gained
 
-    def confirm(self, likely: DataFrame, parts: int) -> DataFrame:
-        """The pairs that full sets confirm. Pairs of one host meet in one group of `parts` at most, so a set
-        is sent once to a group and not once for each pair, and no group holds much more than its share."""
+    def confirm(self, likely: DataFrame) -> DataFrame:
+        """The pairs that full sets confirm. Members of a family meet in one group, or in several if their pairs
+        hold more than GROUP_SHINGLES, with all their hubs: a member's set is sent once, a hub's once a group."""
         other = F.when(F.col("a") == F.col("host"), F.col("b")).otherwise(F.col("a"))
-        dealt = likely.select("a", "b", "host", F.pmod(F.xxhash64(other), F.lit(parts)).alias("part"))
-        members = dealt.select(F.col("host").alias("h"), F.col("part").alias("p"), other.alias("cid"))
-        needed = members.unionByName(members.select("h", "p", F.col("h").alias("cid")).distinct())
-        return dealt.groupBy("host", "part").cogroup(self.sets_of(needed).groupBy("h", "p")).applyInArrow(_confirm(self.percent), "a long, b long")
+        dealt = likely.select("a", "b", "host", "family", other.alias("cid"), F.lit(0).cast("long").alias("part"))
+        groups = F.ceil(F.sum(F.col("na") + F.col("nb")) / GROUP_SHINGLES).alias("groups")
+        large = materialize(likely.groupBy("family").agg(groups).where("groups > 1"), "large")
+        if not large.isEmpty():
+            part = F.coalesce(F.pmod(F.xxhash64("cid"), F.col("groups")), F.lit(0)).alias("part")
+            dealt = materialize(dealt.join(F.broadcast(large), "family", "left").select("a", "b", "host", "family", "cid", part), "dealt")
+        group = [F.col("family").alias("h"), F.col("part").alias("p")]
+        needed = dealt.select("cid", *group).unionByName(dealt.select(F.col("host").alias("cid"), *group)).distinct()
+        return dealt.groupBy("family", "part").cogroup(self.sets_of(needed).groupBy("h", "p")).applyInArrow(_confirm(self.percent), "a long, b long")
 
     def sets_of(self, needed: DataFrame) -> DataFrame:
         """needed (cid, h, p) with the shingles of the class, from the text of one of its rows. A filter of
@@ -287,27 +298,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     hubs = materialize(hubs.where("hub < top").select("bucket", "hub", "size"), "hubs")
     members = materialize(bands.join(hubs, "bucket").groupBy("bucket", "cid").agg(F.min("hub").alias("hub"), F.min("size").alias("size")), "members")
     forget(hubs)
-    chosen = members.select("cid").distinct().join(classes, "cid").select(F.col("best").alias("uid"))
-    partnered = found.join(chosen, "uid", "left_semi").select("cid", "n", "sign", "doc_id", "row_hash")
+    families = members.groupBy("cid").agg(F.min("hub").alias("family"))
+    chosen = families.join(classes, "cid").select(F.col("best").alias("uid"), "family")
+    partnered = found.join(chosen, "uid").select("cid", "n", "sign", "family", "doc_id", "row_hash")
     links = _Links(docs, materialize(partnered, "partnered"), width, percent)
     shared = members.where("cid <> hub").groupBy("cid", "hub").agg(F.count(F.lit(1)).alias("k"))
     nearest = materialize(shared.groupBy("cid").agg(F.max_by("hub", "k").alias("hub")), "nearest")
-    gained, salt, active = links.star(nearest.withColumn("old", F.lit(0))), 0, members
+    gained, salt, active = links.star(nearest), 0, members
     while gained or not salt:
         # Without any link so far, every member is a component of its own.
         labels = links.labels if links.labels is not None else nearest.select(F.col("cid").alias("node"), F.col("cid").alias("component"))
         still = _open(active, labels)
-        proposed = _finer(still, salt).withColumn("old", F.lit(0))
+        proposed = _finer(still, salt)
         if not salt:
-            stars = still.where("component <> home").select("cid", "hub", F.lit(0).alias("old"))
-            proposed = proposed.unionByName(stars).unionByName(nearest.withColumn("old", F.lit(1)))
+            proposed = proposed.unionByName(still.where("component <> home").select("cid", "hub"))
         gained = links.star(proposed)
         if gained:
             linked = links.new.select(F.explode(F.array("a", "b")).alias("cid"))
             active = still.where("size > 2").select("bucket", "cid", "hub", "size")
             active = active.join(active.join(linked, "cid", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
         salt += 1
-    forget(members, nearest)
+    forget(members, nearest, *links.tested)
 
     if links.labels is None:
         classed = classes.select("mark", F.col("least").alias("component_id"), "best")

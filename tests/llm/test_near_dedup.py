@@ -106,6 +106,41 @@ def test_small_groups_of_pairs(spark, monkeypatch):
     assert key((r.doc_id, r.n_shingles, r.component_id) for r in got) == key(brute(rows, 2))
 
 
+@pytest.mark.parametrize("shingles_a_group", [N.GROUP_SHINGLES, 100_000])
+def test_sets_of_a_family_are_sent_once(spark, monkeypatch, shingles_a_group):
+    """Copies of a text that is not there, most pairs just short of the bound: a set is not sent once a pair."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(200):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randint(4, 7)):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    made, plain = {"wanted": [], "likely": [], "links": []}, N.materialize
+
+    def noting(df, name):
+        table = plain(df, name)
+        if name in made:
+            made[name].append(table.collect())
+        return table
+
+    monkeypatch.setattr(N, "materialize", noting)
+    monkeypatch.setattr(N, "GROUP_SHINGLES", shingles_a_group)
+    got = N.near_duplicates(make(spark, rows), 2).collect()
+    component = {r.doc_id: r.component_id for r in got}
+    sets = {i: shingles(t, 2) for i, t in rows}
+    links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert sum(component[i] == component[j] for i, j in links) >= 0.99 * len(links)
+    pairs = [(r.a, r.b) for table in made["likely"] for r in table]
+    assert len(pairs) > 8 * len(rows) and len(set(pairs)) == len(pairs)  # no pair is tested again
+    for sent, tested in zip(made["wanted"], made["likely"]):
+        hubs = {r.host for r in tested}
+        members = {r.b if r.a == r.host else r.a for r in tested}
+        groups = -(-sum(r.na + r.nb for r in tested) // shingles_a_group) + len({r.family for r in tested}) - 1
+        assert len(sent) <= len(members) + len(hubs) * groups
+
+
 def test_recall_of_links(spark):
     """Every link at 0.8 among documents near the bound joins its ends, as far as components show."""
     rows = near_copies(21, 900)
