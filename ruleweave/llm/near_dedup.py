@@ -6,12 +6,14 @@ its number picks. BANDS bands of equal bins give buckets. A bucket proposes a st
 all other members, so pairs grow with members, not with their square. Proposed pairs are confirmed on
 full shingle sets, at first with the hub alone that a member shares most buckets with, which links most.
 Then the stars of buckets that are still in several components follow, as far as they go between these.
-A star can miss a link between two members that are not the hub's. So members of such buckets also meet
-in finer buckets that two bands make together: a pair at similarity 0.8 shares some 30 of these, each of
-which picks a hub of its own and proposes a star between components. Rounds of this, with new hubs, go
-on in a bucket until one links nothing there. Every round proposes at most as many pairs as there are
-memberships, and none that an earlier round has confirmed or refuted; no bucket, pair or partner is
-dropped for its size. Sets too small to reach the similarity with any other set are classes only.
+A star can miss a link between two members that are not the hub's. So such buckets are sorted by their
+members' sketches, from several bins on, and neighbours from two components are proposed, if their sizes and
+two bits of each bin allow a link: at first next ones, which leaves few components, then farther ones.
+What is left meets in finer buckets that two bands make together: a pair at similarity 0.8 shares some 30
+of these, each of which picks a hub of its own and proposes a star between components. Rounds of this, with
+new hubs, go on in a bucket until one links nothing there. Proposals grow with memberships, and none that an
+earlier round has confirmed or refuted is tested; no bucket, pair or partner is dropped for its size. Sets
+too small to reach the similarity with any other set are classes only.
 Members are confirmed by family (the least hub of a member's buckets), each with all its hubs at once: a
 round sends a member's set once however many pairs it is in, and a hub's once to each group of members.
 """
@@ -23,7 +25,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.partitions import spread
@@ -38,6 +40,11 @@ BINS, BANDS, BAND_BINS = 128, 25, 5
 DEVIATIONS = 5
 #: Shingles in the pairs that one group confirms, about; larger families are dealt to several groups.
 GROUP_SHINGLES = 2_000_000
+#: Orders in which a round sorts a bucket, bins that an order looks at, and how far apart neighbours are there
+#: at most (next to each other in the first such round, which joins most of the components).
+ORDERS, ORDER_BINS, REACH = 4, 32, 6
+#: Rounds among neighbours, before those in buckets of two bands.
+NEAR_ROUNDS = 2
 
 _MIX1, _MIX2, _MIX3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: Orders null ids last.
@@ -127,17 +134,19 @@ def _sketch(width: int, percent: int):
             some = [i for i, s in enumerate(sets) if linkable(len(s), percent)]
             values = sketches([sets[i] for i in some])
             keys, low = band_keys(values), values.astype(np.uint8)
+            bits = np.packbits(np.concatenate([low & 1, low >> 1 & 1], axis=1), axis=1).view(np.int64)
             signs: list[bytes | None] = [None] * len(sets)
+            twos: list[list[int] | None] = [None] * len(sets)
             count = np.zeros(len(sets), np.int32)
             for row, i in enumerate(some):
-                signs[i], count[i] = low[row].tobytes(), BANDS
+                signs[i], twos[i], count[i] = low[row].tobytes(), bits[row].tolist(), BANDS
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"], batch["row_hash"], pa.array(np.arange(uid, uid + len(sets)) + task, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(marks, pa.binary()), pa.array(cids, pa.int64()), pa.array(signs, pa.binary()), bands,
+                    pa.array(marks, pa.binary()), pa.array(cids, pa.int64()), pa.array(signs, pa.binary()), pa.array(twos, pa.list_(pa.int64())), bands,
                 ],
-                ["doc_id", "row_hash", "uid", "n", "mark", "cid", "sign", "bands"],
+                ["doc_id", "row_hash", "uid", "n", "mark", "cid", "sign", "bits", "bands"],
             )
             uid += len(sets)
 
@@ -266,11 +275,40 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return found
 
 
+def _may_link(x, y, percent: int):
+    """Whether two structs (n, bits) can be linked: by their sizes, and by two bits of each bin. Two bins that
+    differ have half of their bits in common; the limit is DEVIATIONS from what the similarity gives, as in _likely."""
+    low, high = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
+    apart = F.aggregate(F.zip_with(x["bits"], y["bits"], lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
+    filled = F.lit(BINS) * (F.lit(1.0) - F.pow(F.lit(1 - 1 / BINS), low))
+    differ = 1 - percent / 100
+    most = differ + F.lit(DEVIATIONS) * F.sqrt(F.lit(1.5 * differ - differ * differ) / filled)
+    return (100 * low >= percent * high) & (apart <= BINS * most)
+
+
+def _nearer(still: DataFrame, classes: DataFrame, salt: int, percent: int) -> DataFrame:
+    """cid, hub of neighbours from two components in a bucket, its members sorted by their sketches: members
+    that agree in the first bins of an order stand together, in as many as it takes to part them. Each bucket
+    and salt has ORDERS orders, that start at bins of their own. A pair comes once an end, however many buckets
+    and orders it is near in."""
+    signed = still.join(classes.select("cid", "n", "sign", "bits"), "cid")
+    orders = [F.expr(f"substring(concat(sign, sign), cast(pmod(xxhash64(bucket, {salt}, {i}), {BINS}) as int) + 1, {ORDER_BINS})").alias(f"o{i}") for i in range(ORDERS)]
+    keyed = signed.select("bucket", F.struct("cid", "component", "n", "bits").alias("own"), *orders)
+    reach = REACH if salt > 1 else 1
+    before = [F.collect_list("own").over(Window.partitionBy("bucket").orderBy(f"o{i}", "own.cid").rowsBetween(-reach, -1)) for i in range(ORDERS)]
+    others = F.filter(F.concat(*before), lambda p: p["component"] != F.col("own.component"))
+    near = keyed.select("own", others.alias("others"))
+    likely = F.filter("others", lambda p: _may_link(p, F.col("own"), percent))
+    near = near.where("size(others) > 0").select("own.cid", F.array_distinct(F.transform(likely, lambda p: p["cid"])).alias("hubs")).where("size(hubs) > 0")
+    return near.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs")).select("cid", F.explode("hubs").alias("hub"))
+
+
 def _finer(still: DataFrame, salt: int) -> DataFrame:
     """cid, hub of stars between components, in buckets that two bands make together."""
     buckets = F.sort_array(F.collect_set("bucket"))  # at most BANDS
     later = lambda b, i: F.transform(F.slice("buckets", i + 2, BANDS), lambda c: F.xxhash64(b, c))
-    fine = still.where("size > 2").groupBy("cid", "component").agg(buckets.alias("buckets")).select("cid", "component", F.explode(F.flatten(F.transform("buckets", later))).alias("fine"))
+    fine = still.groupBy("cid", "component").agg(buckets.alias("buckets")).select("cid", "component", F.explode(F.flatten(F.transform("buckets", later))).alias("fine"))
+    fine = materialize(fine, "fine")
     order = F.xxhash64("cid", "fine", F.lit(salt))
     hubs = fine.groupBy("fine").agg(F.min_by("cid", order).alias("hub"), F.min_by("component", order).alias("home"), F.min("component").alias("low"), F.max("component").alias("high"))
     return fine.join(hubs.where("low < high").select("fine", "hub", "home"), "fine").where("component <> home").select("cid", "hub")
@@ -288,7 +326,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     docs = spread(docs.select("doc_id", "text"))
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
-    found = materialize(in_tasks(source, _sketch(width, percent), "doc_id long, row_hash long, uid long, n long, mark binary, cid long, sign binary, bands array<long>"), "sketches")
+    found = materialize(in_tasks(source, _sketch(width, percent), "doc_id long, row_hash long, uid long, n long, mark binary, cid long, sign binary, bits array<long>, bands array<long>"), "sketches")
     order = F.coalesce("doc_id", F.lit(_LAST))
     classes = found.where("n > 0").groupBy("mark").agg(F.min("cid").alias("cid"), F.min("doc_id").alias("least"), F.min_by("uid", order).alias("best"))
     classes = materialize(classes, "classes")
@@ -300,22 +338,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     forget(hubs)
     families = members.groupBy("cid").agg(F.min("hub").alias("family"))
     chosen = families.join(classes, "cid").select(F.col("best").alias("uid"), "family")
-    partnered = found.join(chosen, "uid").select("cid", "n", "sign", "family", "doc_id", "row_hash")
+    partnered = found.join(chosen, "uid").select("cid", "n", "sign", "bits", "family", "doc_id", "row_hash")
     links = _Links(docs, materialize(partnered, "partnered"), width, percent)
     shared = members.where("cid <> hub").groupBy("cid", "hub").agg(F.count(F.lit(1)).alias("k"))
-    nearest = materialize(shared.groupBy("cid").agg(F.max_by("hub", "k").alias("hub")), "nearest")
+    nearest = materialize(shared.groupBy("cid").agg(F.max_by("hub", F.struct("k", F.bitwise_not("hub"))).alias("hub")), "nearest")
     gained, salt, active = links.star(nearest), 0, members
-    while gained or not salt:
+    while gained or salt <= NEAR_ROUNDS + 1:
         # Without any link so far, every member is a component of its own.
         labels = links.labels if links.labels is not None else nearest.select(F.col("cid").alias("node"), F.col("cid").alias("component"))
         still = _open(active, labels)
-        proposed = _finer(still, salt)
         if not salt:
-            proposed = proposed.unionByName(still.where("component <> home").select("cid", "hub"))
+            proposed = still.where("component <> home").select("cid", "hub")
+        else:
+            proposed = _nearer(still, links.classes, salt, percent) if salt <= NEAR_ROUNDS else _finer(still, salt)
         gained = links.star(proposed)
-        if gained:
+        active = still.where("size > 2").select("bucket", "cid", "hub", "size")
+        if gained and salt > 1:  # neighbours next to each other are too few to give a bucket up
             linked = links.new.select(F.explode(F.array("a", "b")).alias("cid"))
-            active = still.where("size > 2").select("bucket", "cid", "hub", "size")
             active = active.join(active.join(linked, "cid", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
         salt += 1
     forget(members, nearest, *links.tested)
