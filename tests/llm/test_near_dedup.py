@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ruleweave.llm import near_dedup as N
 from ruleweave.llm.components import components
@@ -166,6 +168,51 @@ def test_finer_buckets_are_for_what_neighbours_leave(spark, monkeypatch):
     assert counts and sum(counts) < 60 * len(rows)  # 1,695 when this was written, 5,672 without neighbours
 
 
+def test_neighbours_that_profiles_refute_are_no_pairs(spark, monkeypatch):
+    """Copies with 5 to 14 words changed, most of which link with nothing: neighbours propose few pairs."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(1000, " ".join(base))]
+    for i in range(150):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randint(5, 14)):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    counts, plain = [], N._nearer
+
+    def counted(*a):
+        proposed = plain(*a)
+        counts.append(proposed.count())
+        return proposed
+
+    monkeypatch.setattr(N, "_nearer", counted)
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(make(spark, rows), 2).collect()}
+    assert got == {i: c for i, _, c in brute(rows, 2)}
+    assert counts and sum(counts) < 2 * len(rows)
+
+
+def test_profiles_bound_what_two_members_share(spark):
+    rng = np.random.default_rng(3)
+    rows, truth = [], []
+    for size in (20, 150, 3000):
+        hub, pool = (np.unique(rng.integers(0, 2**63, size).astype(np.uint64)) for _ in "ab")
+        sets = [hub] + [np.sort(np.concatenate([hub[rng.random(len(hub)) < keep], pool[rng.random(len(pool)) < 0.1]])) for keep in np.linspace(0.7, 1, 12)]
+        pairs = pa.table({"a": [0] * 12, "b": list(range(1, 13)), "host": [0] * 12})
+        held = pa.table({"cid": list(range(13)), "shingles": [s.tobytes() for s in sets]})
+        told = N._profile(80)(pairs, held).to_pylist()
+        profiles = {r["cid"]: (len(sets[r["cid"]]), r["ref"], r["both"], r["added"], r["lacked"]) for r in told}
+        for i in profiles:
+            assert profiles[i][2] == len(np.intersect1d(sets[0], sets[i]))
+            for j in range(1, i):
+                rows.append((len(rows), profiles[i], profiles[j]))
+                truth.append((size, len(np.intersect1d(sets[i], sets[j]))))
+    kind = "struct<n long, ref long, both long, added array<long>, lacked array<long>>"
+    table = spark.createDataFrame(rows, f"at long, x {kind}, y {kind}")
+    bound = {r.at: r.most for r in table.select("at", N._overlap(F.col("x"), F.col("y")).alias("most")).collect()}
+    assert len(bound) == len(truth) and all(bound[at] >= true for at, (_, true) in enumerate(truth))
+    assert np.mean([bound[at] - true for at, (size, true) in enumerate(truth) if size == 150]) < 10
+
+
 def test_recall_of_links(spark):
     """Every link at 0.8 among documents near the bound joins its ends, as far as components show."""
     rows = near_copies(21, 900)
